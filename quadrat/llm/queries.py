@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from quadrat.llm import licenses
+from quadrat.llm.licenses import op4_license_scan
 from quadrat.llm.mixing import op2_mixing
 from quadrat.llm.quality_rules import op1_quality_rules
+from quadrat.llm.sharding import op6_sharding
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op4_license_scan": op4_license_scan,
+    "op6_sharding": op6_sharding,
 }
 
 ORACLE_SQL = {
@@ -26,4 +31,5 @@ b AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_wor
       + 8 * (100 * n_dup_lines > 60 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words OR word_chars > 25 * n_words)::BIGINT
       + 32 * (100 * n_exclamations > 60 * n_words)::BIGINT)::BIGINT AS fail_bits FROM m)
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b""",
+    "op4_license_scan": licenses.oracle(),
 }
