@@ -5,14 +5,18 @@ from __future__ import annotations
 from quadrat.llm import licenses
 from quadrat.llm.licenses import op4_license_scan
 from quadrat.llm.mixing import op2_mixing
+from quadrat.llm.quality_classifier import op10_quality_classifier
 from quadrat.llm.quality_rules import op1_quality_rules
 from quadrat.llm.sharding import op6_sharding
+from quadrat.llm.warc import op9_warc_derivatives
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op4_license_scan": op4_license_scan,
     "op6_sharding": op6_sharding,
+    "op9_warc_derivatives": op9_warc_derivatives,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {
