@@ -5,6 +5,7 @@ from __future__ import annotations
 from quadrat.llm import licenses
 from quadrat.llm.licenses import op4_license_scan
 from quadrat.llm.mixing import op2_mixing
+from quadrat.llm.ngram_join import op7_ngram_join
 from quadrat.llm.quality_classifier import op10_quality_classifier
 from quadrat.llm.quality_rules import op1_quality_rules
 from quadrat.llm.sharding import op6_sharding
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_license_scan": op4_license_scan,
     "op6_sharding": op6_sharding,
+    "op7_ngram_join": op7_ngram_join,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_quality_classifier": op10_quality_classifier,
 }
