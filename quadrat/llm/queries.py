@@ -9,12 +9,14 @@ from quadrat.llm.ngram_join import op7_ngram_join
 from quadrat.llm.quality_classifier import op10_quality_classifier
 from quadrat.llm.quality_rules import op1_quality_rules
 from quadrat.llm.sharding import op6_sharding
+from quadrat.llm.suffix_dedup import op5_suffix_dedup
 from quadrat.llm.warc import op9_warc_derivatives
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op4_license_scan": op4_license_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op7_ngram_join": op7_ngram_join,
     "op9_warc_derivatives": op9_warc_derivatives,
