@@ -6,6 +6,7 @@ from quadrat.llm import licenses
 from quadrat.llm.licenses import op4_license_scan
 from quadrat.llm.mixing import op2_mixing
 from quadrat.llm.ngram_join import op7_ngram_join
+from quadrat.llm.packing import op8_packing
 from quadrat.llm.quality_classifier import op10_quality_classifier
 from quadrat.llm.quality_rules import op1_quality_rules
 from quadrat.llm.sharding import op6_sharding
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op7_ngram_join": op7_ngram_join,
+    "op8_packing": op8_packing,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_quality_classifier": op10_quality_classifier,
 }
