@@ -5,6 +5,7 @@ from __future__ import annotations
 from quadrat.llm import licenses
 from quadrat.llm.licenses import op4_license_scan
 from quadrat.llm.mixing import op2_mixing
+from quadrat.llm.neighbours import op3_neighbours
 from quadrat.llm.ngram_join import op7_ngram_join
 from quadrat.llm.packing import op8_packing
 from quadrat.llm.quality_classifier import op10_quality_classifier
@@ -16,6 +17,7 @@ from quadrat.llm.warc import op9_warc_derivatives
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op3_neighbours": op3_neighbours,
     "op4_license_scan": op4_license_scan,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
