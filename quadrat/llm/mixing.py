@@ -67,7 +67,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def slots(src: DataFrame, seed: int = 0) -> DataFrame:
     """s, block, pass, n_take and the place (shard, slot) of each take of a block."""
-    chunks = src.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk")).repartition("s", "chunk")
+    chunks = src.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk")).repartition(C.partitions(src.sparkSession), "s", "chunk")
     j = F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1))
     out = chunks.select("*", j.alias("j")).withColumn("pass", F.floor(F.col("j") / F.col("blocks"))).withColumn("i", F.col("j") % F.col("blocks"))
     block = F.when(F.col("i") < F.col("full_blocks"), permuted(F.col("i"), F.col("full_blocks"), F.col("s"), F.col("pass"), seed=seed)).otherwise(F.col("i"))
@@ -97,7 +97,8 @@ def mix(index: DataFrame, src: DataFrame, seed: int = 0) -> DataFrame:
     end = F.col("start") + F.col("size")
     parts = index.where("size > 0").select("doc_id", "s", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))).alias("block"))
     first = F.col("block") * BLOCK
-    out = slots(src, seed).join(parts, ["s", "block"]).withColumn("_from", F.greatest("start", first)).withColumn("n_words", F.least(end, first + F.col("n_take")) - F.col("_from"))
+    out = slots(src, seed).hint("merge").join(parts, ["s", "block"])  # both grow with the input, so neither is broadcast
+    out = out.withColumn("_from", F.greatest("start", first)).withColumn("n_words", F.least(end, first + F.col("n_take")) - F.col("_from"))
     return out.where("n_words > 0").select("shard", "slot", (F.col("_from") - first).alias("place"), "doc_id", "s", "start", "pass", (F.col("_from") - F.col("start")).alias("from_word"), "n_words")
 
 
