@@ -111,31 +111,39 @@ def posteriors(evidence: DataFrame) -> DataFrame:
     return own.select("host", "path", "n", "host_quality", ((F.col("total") + k * F.col("host_quality")) / (F.col("n") + k)).alias("path_quality"))
 
 
-def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with _q: struct of p_document, host_quality, path_quality, posterior, kept."""
-    spark = docs.sparkSession
+def _evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str, text_col: str) -> tuple[DataFrame, Model, DataFrame]:
+    """(measured documents, the model, the sites' posteriors)."""
     measured = C.written(docs.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), features(F.col(text_col)).alias("x")), "quality-features")
     model = trained(measured, labels)
-    odds = lambda p: F.log(p / (1 - p))
-    sigmoid = lambda z: 1 / (1 + F.exp(-z))
-    sites = C.written(posteriors(measured.select("host", "path", sigmoid(model.log_odds(F.col("x"))).alias("p"))), "quality-sites")
+    sites = C.written(posteriors(measured.select("host", "path", _sigmoid(model.log_odds(F.col("x"))).alias("p"))), "quality-sites")
     few = sites.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     sites = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("host_quality").alias("_hq"), F.col("path_quality").alias("_pq"))
-    own = docs.withColumn("_z", model.log_odds(features(F.col(text_col)))).join(F.broadcast(sites) if few else sites, host.eqNullSafe(F.col("_h")) & path.eqNullSafe(F.col("_p")))
-    posterior = sigmoid(F.col("_z") + odds(F.least(F.greatest("_pq", F.lit(1e-4)), F.lit(1 - 1e-4))) - odds(F.lit(model.base)))
-    q = F.struct(sigmoid(F.col("_z")).alias("p_document"), F.col("_hq").alias("host_quality"), F.col("_pq").alias("path_quality"), posterior.alias("posterior"), (posterior >= threshold).alias("kept"))
-    return own.select(*[docs[c] for c in docs.columns], q.alias("_q"))
+    return measured, model, F.broadcast(sites) if few else sites
+
+
+def _sigmoid(z: Column) -> Column:
+    return 1 / (1 + F.exp(-z))
+
+
+def _judged(rows: DataFrame, model: Model, sites: DataFrame, x: Column, threshold: float) -> DataFrame:
+    """rows (with host and path) and q: struct of p_document, host_quality, path_quality, posterior, kept."""
+    odds = lambda p: F.log(p / (1 - p))
+    own = rows.withColumn("_z", model.log_odds(x)).join(sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
+    posterior = _sigmoid(F.col("_z") + odds(F.least(F.greatest("_pq", F.lit(1e-4)), F.lit(1 - 1e-4))) - odds(F.lit(model.base)))
+    return own.withColumn("q", F.struct(_sigmoid(F.col("_z")).alias("p_document"), F.col("_hq").alias("host_quality"), F.col("_pq").alias("path_quality"), posterior.alias("posterior"), (posterior >= threshold).alias("kept")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, p_document, host_quality, path_quality, posterior, kept: a row for each document."""
-    docs = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"), host.alias("_host"), path.alias("_path"))
-    return scored(docs, labels, F.col("_host"), F.col("_path"), id_col, "_text").select(id_col, "_q.*")
+    measured, model, sites = _evidence(docs, labels, host, path, id_col, text_col)
+    return _judged(measured, model, sites, F.col("x"), threshold).select(F.col("id").alias(id_col), "q.*")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
-    """The rows of docs that the classifier keeps, with their own columns."""
-    return scored(docs, labels, host, path).where("_q.kept").select(docs.columns)
+def accepted(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the classifier keeps, with their own columns. Texts are measured again rather than shuffled."""
+    _, model, sites = _evidence(docs, labels, host, path, id_col, text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), host.alias("host"), path.alias("path"), features(F.col(text_col)).alias("x"))
+    return _judged(rows, model, sites, F.col("x"), threshold).where("q.kept").select("row.*")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
