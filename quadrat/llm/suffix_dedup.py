@@ -216,11 +216,15 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("id", "digest", "text")
     marks = C.written(anchored(docs, window), "suffix-anchors")
-    often = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = marks.join(often, "hash").groupBy("id", "digest").agg(F.collect_list(F.struct("first", "hash", "more", "n")).alias("found"))
+    # Each of these is a table of its own, so that its shuffles are gone before the next, and so that both sides of the
+    # join on anchors are plain exchanges, which a skew join can split.
+    often = C.written(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-repeated")
+    found = marks.hint("merge").join(often, "hash").groupBy("id", "digest").agg(F.collect_list(F.struct("first", "hash", "more", "n")).alias("found"))
+    found = C.written(found, "suffix-found")
+    C.discard(marks, often)
     texts = docs.groupBy("id", "digest").agg(F.first("text").alias("text"))
     done = C.written(settled(texts.join(found, ["id", "digest"]), window), "suffix-shards")
-    C.discard(marks)
+    C.discard(found)
     results, stretches = [done.where("kind = 0")], done.where("kind = 1")
     count = stretches.count()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
