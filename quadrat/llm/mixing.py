@@ -110,15 +110,15 @@ def shard_counts(src: DataFrame, seed: int = 0) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents of the mix, with docs' own columns: a row for each pass that takes words of a document, with those
     words as its text (the text unchanged, where all are taken). Rows that repeat a doc_id here count as one document, the least."""
-    cols = docs.columns
-    docs = docs.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in cols])).alias("_d")).select("_d.*")
-    index, src = indexed(docs)
-    runs = mix(index, src, seed).groupBy("doc_id", "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("_runs"), F.sum("n_words").alias("_n"))
-    runs = runs.withColumnRenamed("doc_id", "_id")
-    out = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")))
-    part = C.let(C.words(F.col("text")), lambda w: F.array_join(F.flatten(F.transform(F.col("_runs"), lambda r: F.slice(w, r["from_word"].cast("int") + 1, r["n_words"].cast("int")))), " "))
-    out = out.withColumn("text", F.when(F.col("_n") == C.n_words(F.col("text")), F.col("text")).otherwise(part))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cols else out).select(cols)
+    rows = docs.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    index, src = indexed(rows.select("row.*"))
+    runs = mix(index, src, seed).groupBy(F.col("doc_id").alias("id"), "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("runs"), F.sum("n_words").alias("n"))
+    out = rows.select("row").join(runs, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    text = F.col("row.text")
+    part = C.let(C.words(text), lambda w: F.array_join(F.flatten(F.transform(F.col("runs"), lambda r: F.slice(w, r["from_word"].cast("int") + 1, r["n_words"].cast("int")))), " "))
+    out = out.withColumn("text", F.when(F.col("n") == C.n_words(text), text).otherwise(part))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select([new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

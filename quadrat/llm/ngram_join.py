@@ -188,10 +188,10 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: tuple[int, int] = TH
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each class, the one with the least doc_id; of rows that repeat it, one stays."""
-    firsts = near_duplicates(docs).where("first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    own = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    own = own.join(firsts, own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    return own.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "_h").orderBy(F.lit(0)))).where("_k = 1").select(docs.columns)
+    firsts = near_duplicates(docs).where("first").select("doc_id", "text_hash").distinct()
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("code"))
+    own = own.join(firsts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("code") == F.col("text_hash")), "left_semi")
+    return own.withColumn("k", F.row_number().over(W.partitionBy("id", "code").orderBy(F.lit(0)))).where("k = 1").select("row.*")
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
