@@ -80,7 +80,7 @@ def chi2_two_sample(counts: DataFrame, bin_: str, a: str, b: str, yates: bool =
     d = F.col(a) * F.col("_b") - F.col(b) * F.col("_a")
     d = F.greatest(F.abs(d) - F.lit(0.5) * (F.col("_a") + F.col("_b")), F.lit(0.0)) if yates else d.cast("double")
     rows = counts.join(F.broadcast(n), F.lit(True)).where(F.col(a) + F.col(b) > 0)  # n is one row
-    out = rows.agg((F.sum(d * d / (F.col(a) + F.col(b))) / F.first("_a") / F.first("_b")).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
+    out = rows.agg((F.sum(d * d / (F.col(a) + F.col(b))) / F.nullif(F.first("_a") * F.first("_b") * F.lit(1.0), F.lit(0.0))).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
     return with_tail(out, S.chi2_sf, "chi2", "dof")
 
 
@@ -103,4 +103,4 @@ def kendall(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:
     ties = lambda c, to: v.groupBy(*keys, c).agg(F.sum("m").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(to))
     out = n.join(s, list(keys), "left").join(ties("a", "ta"), list(keys)).join(ties("b", "tb"), list(keys))
     n0 = F.col("n") * (F.col("n") - 1) / 2
-    return out.select(*keys, (F.coalesce("s", F.lit(0.0)) / F.sqrt((n0 - F.col("ta")) * (n0 - F.col("tb")))).alias("tau"))
+    return out.select(*keys, (F.coalesce("s", F.lit(0.0)) / F.nullif(F.sqrt((n0 - F.col("ta")) * (n0 - F.col("tb"))), F.lit(0.0))).alias("tau"))

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quadrat.operators.tables import bins
 
 
+def _field(structs: str, name: str) -> Column:
+    return F.transform(structs, lambda s: s[name])
+
+
 def long_form(df: DataFrame, keys: Sequence[str], arrays: Sequence[str]) -> DataFrame:
     """Indexed properties as rows: keys, pos (from 0) and one column for each array."""
     return df.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "_z")).select(*keys, F.col("pos").cast("long").alias("pos"), *[F.col(f"_z.{a}").alias(a) for a in arrays])
@@ -18,7 +22,7 @@ def long_form(df: DataFrame, keys: Sequence[str], arrays: Sequence[str]) -> Data
 
 def nested_form(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
     """Rows as indexed properties, in order."""
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("_s")).select(*keys, *[F.transform("_s", lambda s, v=v: s[v]).alias(v) for v in (order, *values)])
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("_s")).select(*keys, *[_field("_s", v).alias(v) for v in (order, *values)])
 
 
 def value_of(df: DataFrame, identifier, name: str, id_: int | None = None) -> DataFrame:
@@ -90,7 +94,7 @@ def extract(df: DataFrame, condition: Column) -> DataFrame:
 def extract_indexed(df: DataFrame, arrays: Sequence[str], condition) -> DataFrame:
     """Elements of the arrays that meet condition(element struct), in place."""
     kept = df.withColumn("_z", F.filter(F.arrays_zip(*arrays), condition))
-    return kept.withColumns({a: F.transform("_z", lambda z, a=a: z[a]) for a in arrays}).drop("_z")
+    return kept.withColumns({a: _field("_z", a) for a in arrays}).drop("_z")
 
 
 def element_counts(df: DataFrame, ids: str = "ids", layer: Column | None = None, factor: float = 1.0, inverse: bool = False) -> Column:

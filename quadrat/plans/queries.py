@@ -195,11 +195,11 @@ def table_filter_scalar_inverse(spark, d):
     return tables.drop_where(table(spark, d, "orders"), "o_totalprice", "gt", 100000).select("o_orderkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND (p_retailprice < 1000 OR p_retailprice > 1500)")
+@query("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND (p_retailprice < 920 OR p_retailprice > 980)")
 def table_slice_predicate(spark, d):
     from quadrat.plans.predicates import linkers
 
-    xml = "<set><linker source='a' target='b'><eu_dst low='10' high='20' sign='+'/><geo_dst low='1500' high='1000' sign='+'/><sin low='0' high='1' sign='-'/></linker></set>"
+    xml = "<set><linker source='a' target='b'><eu_dst low='10' high='20' sign='+'/><geo_dst low='980' high='920' sign='+'/><sin low='0' high='1' sign='-'/></linker></set>"
     part = table(spark, d, "part").withColumns({"eu_dst": F.col("p_size"), "geo_dst": F.col("p_retailprice"), "sin": F.lit(9)})
     return part.where(linkers(xml)[0].where()).select("p_partkey")
 
@@ -311,7 +311,7 @@ def obs_join_mean(spark, d):
     return rounded(observations.pooled_stats(customers(spark, d), "grp", "identifier", "v", "mean"))
 
 
-@query(f"WITH {O}, q AS (SELECT grp, identifier, {BIN} AS bin FROM o), s AS (SELECT g.grp, g.identifier, b AS bin, count(q.bin) / sum(count(q.bin)) OVER (PARTITION BY g.grp, g.identifier) AS v FROM (SELECT DISTINCT grp, identifier FROM o) g CROSS JOIN range(5) AS r(b) LEFT JOIN q ON q.grp = g.grp AND q.identifier = g.identifier AND q.bin = b GROUP BY ALL) SELECT grp, bin, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*) AS n, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem FROM s GROUP BY grp, bin")
+@query(f"WITH {O}, q AS (SELECT grp, identifier, {BIN} AS bin FROM o), t AS (SELECT g.grp, g.identifier, b AS bin, count(q.bin) AS n FROM (SELECT DISTINCT grp, identifier FROM o) g CROSS JOIN range(5) AS r(b) LEFT JOIN q ON q.grp = g.grp AND q.identifier = g.identifier AND q.bin = b GROUP BY 1, 2, 3), s AS (SELECT *, n / sum(n) OVER (PARTITION BY grp, identifier) AS v FROM t) SELECT grp, bin, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*) AS n, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem FROM s GROUP BY grp, bin")
 def obs_join_mean_bin(spark, d):
     return rounded(observations.pooled_stats(customers(spark, d), "grp", "identifier", "v", "mean_bin", EDGES))
 
@@ -403,9 +403,9 @@ def test_mannwhitney_u(spark, d):
     return rounded(inference.mann_whitney(customers(spark, d), "grp", "v", "BUILDING", "MACHINERY").select("u"))
 
 
-@query("WITH h AS (SELECT p_size AS bin, count(*) FILTER (p_retailprice < 1400) AS a, count(*) FILTER (p_retailprice >= 1400) AS b FROM part GROUP BY 1), s AS (SELECT sum(a) AS sa, sum(b) AS sb FROM h) SELECT round(sum((a * sb - b * sa) * (a * sb - b * sa) / (a + b)) / any_value(sa) / any_value(sb), 6) AS chi2, count(*) - 1 AS dof FROM h, s")
+@query("WITH h AS (SELECT p_size AS bin, count(*) FILTER (p_retailprice < 950) AS a, count(*) FILTER (p_retailprice >= 950) AS b FROM part GROUP BY 1), s AS (SELECT sum(a) AS sa, sum(b) AS sb FROM h) SELECT round(sum((a * sb - b * sa) * (a * sb - b * sa) / (a + b)) / (any_value(sa) * any_value(sb)), 6) AS chi2, count(*) - 1 AS dof FROM h, s")
 def test_chi2_two_sample(spark, d):
-    h = table(spark, d, "part").groupBy(F.col("p_size").alias("bin")).agg(F.count_if(F.col("p_retailprice") < 1400).alias("a"), F.count_if(F.col("p_retailprice") >= 1400).alias("b"))
+    h = table(spark, d, "part").groupBy(F.col("p_size").alias("bin")).agg(F.count_if(F.col("p_retailprice") < 950).alias("a"), F.count_if(F.col("p_retailprice") >= 950).alias("b"))
     return rounded(inference.chi2_two_sample(h, "bin", "a", "b").drop("p"))
 
 
@@ -415,9 +415,9 @@ def corr_pearson_regression(spark, d):
     return out.withColumns({"r": F.round("r", 6), "slope": F.round("slope", 4), "intercept": F.round("intercept", 4)})
 
 
-@query("WITH p AS (SELECT p_brand, p_size AS a, floor(p_retailprice / 100) AS b FROM part), q AS (SELECT x.p_brand, sum(sign(y.a - x.a) * sign(y.b - x.b)) / 2 AS s FROM p x JOIN p y USING (p_brand) GROUP BY 1), n AS (SELECT p_brand, count(*) AS n FROM p GROUP BY 1), ta AS (SELECT p_brand, sum(t * (t - 1) / 2) AS ta FROM (SELECT p_brand, a, count(*) AS t FROM p GROUP BY ALL) GROUP BY 1), tb AS (SELECT p_brand, sum(t * (t - 1) / 2) AS tb FROM (SELECT p_brand, b, count(*) AS t FROM p GROUP BY ALL) GROUP BY 1) SELECT p_brand, round(s / sqrt((n * (n - 1) / 2 - ta) * (n * (n - 1) / 2 - tb)), 6) AS tau FROM q JOIN n USING (p_brand) JOIN ta USING (p_brand) JOIN tb USING (p_brand)")
+@query("WITH p AS (SELECT p_brand, p_size AS a, floor(p_retailprice) AS b FROM part), q AS (SELECT x.p_brand, sum(sign(y.a - x.a) * sign(y.b - x.b)) / 2 AS s FROM p x JOIN p y USING (p_brand) GROUP BY 1), n AS (SELECT p_brand, count(*) AS n FROM p GROUP BY 1), ta AS (SELECT p_brand, sum(t * (t - 1) / 2) AS ta FROM (SELECT p_brand, a, count(*) AS t FROM p GROUP BY ALL) GROUP BY 1), tb AS (SELECT p_brand, sum(t * (t - 1) / 2) AS tb FROM (SELECT p_brand, b, count(*) AS t FROM p GROUP BY ALL) GROUP BY 1) SELECT p_brand, round(s / sqrt((n * (n - 1) / 2 - ta) * (n * (n - 1) / 2 - tb)), 6) AS tau FROM q JOIN n USING (p_brand) JOIN ta USING (p_brand) JOIN tb USING (p_brand)")
 def corr_kendall_tau(spark, d):
-    p = table(spark, d, "part").select("p_brand", F.col("p_size").alias("a"), F.floor(F.col("p_retailprice") / 100).alias("b"))
+    p = table(spark, d, "part").select("p_brand", F.col("p_size").alias("a"), F.floor("p_retailprice").alias("b"))
     return rounded(inference.kendall(p, "a", "b", ["p_brand"]))
 
 
@@ -1078,9 +1078,9 @@ def voxel_components(spark, d):
     return v.groupBy("component").agg(F.count(F.lit(1)).alias("volume"))
 
 
-@query(f"WITH {X} SELECT floor(x / 4)::BIGINT AS x, floor(y / 4)::BIGINT AS y, floor(z / 4)::BIGINT AS z, round(avg(value), 6) AS value FROM x GROUP BY ALL")
+@query(f"WITH {X} SELECT floor(x / 4)::BIGINT AS x, floor(y / 4)::BIGINT AS y, floor(z / 4)::BIGINT AS z, round(avg(value), 9) AS value FROM x GROUP BY ALL")
 def voxel_binned(spark, d):
-    return rounded(voxels.binned(voxel_rows(spark, d), 4).select("x", "y", "z", "value"))
+    return rounded(voxels.binned(voxel_rows(spark, d), 4).select("x", "y", "z", "value"), 9)
 
 
 # Extension: windowed counts, on the static table
