@@ -138,7 +138,7 @@ def mean_shift(points: DataFrame, bandwidth: float, keys: Sequence[str], rounds:
     return _per_group(points, keys, run, "id long, cluster long")
 
 
-def affinity_propagation(points: DataFrame, keys: Sequence[str], preference: float | None = None, damping: float = 0.5, rounds: int = 200, id_col: str = "part_id", axes: Sequence[str] = XYZ) -> DataFrame:
+def affinity_propagation(points: DataFrame, keys: Sequence[str], preference: float | None = None, damping: float = 0.9, rounds: int = 400, id_col: str = "part_id", axes: Sequence[str] = XYZ) -> DataFrame:
     """keys, id, exemplar: message passing on negative squared distances of each key's points (which fit a task); preference: by default the median."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

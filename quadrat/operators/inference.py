@@ -17,7 +17,7 @@ def with_tail(df: DataFrame, tail, *columns: str, to: str = "p") -> DataFrame:
 
     @F.pandas_udf("double")
     def p(*xs: pd.Series) -> pd.Series:
-        return pd.Series([tail(*v) if all(pd.notna(v)) else None for v in zip(*xs)], dtype="float64")
+        return pd.Series([tail(*v) if all(pd.notna(x) for x in v) else None for v in zip(*xs)], dtype="float64")
 
     return df.withColumn(to, p(*[F.col(c).cast("double") for c in columns]))
 
