@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in spark.checkpoint.dir (a temporary folder only where that is unset, as in tests)."""
+    """df as a Parquet table in spark.checkpoint.dir; in a temporary folder where that is unset, which only a local session may."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "quadrat-checkpoints")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        top = "file://" + os.path.join(tempfile.gettempdir(), "quadrat-checkpoints")
     path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
