@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quadrat.llm import common as C
 from quadrat.llm.sharding import numbered
 
-LENGTH, END, QUANTA, KNOWN_WORDS = 2048, 0, 512, 400_000
+LENGTH, END, QUANTA, KNOWN_WORDS = 2048, 0, 512, 1_000_000
 NEVER = 1 << 60
 
 
@@ -38,26 +38,48 @@ def default_tokenizer() -> str:
 
 
 class Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes; keeps up to KNOWN_WORDS words."""
+    """word -> its ids as little-endian unsigned 32-bit bytes; keeps up to KNOWN_WORDS words over batches."""
 
     def __init__(self, path: str):
         import tokenizers
 
-        super().__init__()
-        self.encode = tokenizers.Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
-        if len(self) < KNOWN_WORDS:
-            self[word] = ids
-        return ids
+        super().__init__({"": b""})
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words many at a time; a token belongs to the word that it starts in."""
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, starts = np.array(found.ids, "<u4").tobytes(), np.array([x for x, _ in found.offsets], np.int64)
+            begins = np.cumsum([0, *(len(w) + 1 for w in part)])
+            cuts = (4 * np.searchsorted(starts, begins)).tolist()
+            self.update(zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids and END."""
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = list(set().union(*split) - self.keys())
+        self.learn(new)
+        out = [b"".join(map(self.__getitem__, words)) + END.to_bytes(4, "little") for words in split]
+        for word in new[max(0, len(new) - max(0, len(self) - KNOWN_WORDS)) :]:
+            del self[word]
+        return out
 
 
 _KNOWN: dict[str, Words] = {}  # by path; a worker process keeps it over tasks
 
 
-def _encoded(text: str, known: Words) -> bytes:
-    return b"".join(map(known.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) + END.to_bytes(4, "little")
+def _encoded(texts: Iterator[str], known: Words) -> Iterator[bytes]:
+    """The texts' ids, in their order, worked off a million characters at a time."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= 1_000_000:
+            yield from known.encoded(some)
+            some, size = [], 0
+    yield from known.encoded(some)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
@@ -71,8 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         known = _KNOWN[tokenizer]
         for b in batches:
             of, piece, start, size, code, ids = [], [], [], [], [], []
-            for i, text in enumerate(b.column("text")):
-                own = _encoded(text.as_py() or "", known)
+            for i, own in enumerate(_encoded((t.as_py() or "" for t in b.column("text")), known)):
                 for k, at in enumerate(range(0, len(own), 4 * length)):
                     part = own[at : at + 4 * length]
                     of.append(i)
