@@ -16,6 +16,7 @@ gives no rows; documents longer than LENGTH are cut into full pieces and a rest;
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -59,14 +60,23 @@ class Words(dict):
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and END."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.keys())
-        self.learn(new)
+        new = set().union(*split) - self.keys()
+        plain = {w: _plain(w) for w in new}
+        self.learn(list(({s for s, _ in plain.values()} | {",", "."}) - self.keys()))
+        self.update({w: self[s] + self[mark] for w, (s, mark) in plain.items()})
         out = [b"".join(map(self.__getitem__, words)) + END.to_bytes(4, "little") for words in split]
-        for word in new[max(0, len(new) - max(0, len(self) - KNOWN_WORDS)) :]:
+        for word in list(itertools.islice(reversed(self), max(0, len(self) - KNOWN_WORDS))):
             del self[word]
         return out
 
 
+def _plain(word: str) -> tuple[str, str]:
+    """(word without case and end mark, the mark), with the same ids: this tokenizer cuts between letters and marks, and lowers each character by itself."""
+    mark = word[-1] if word[-1] in ",." and word[:-1].isalpha() else ""
+    stem = word[:-1] if mark else word
+    return (stem.lower() if stem.isascii() and stem.isalpha() else stem), mark
+
+
 _KNOWN: dict[str, Words] = {}  # by path; a worker process keeps it over tasks
 
 
