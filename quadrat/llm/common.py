@@ -41,11 +41,12 @@ def count_of(text: Column, chars: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset, which only a local session may."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         top = "file://" + os.path.join(tempfile.gettempdir(), "quadrat-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", top) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return top
 
 
