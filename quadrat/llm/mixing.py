@@ -12,7 +12,8 @@ with a third of all rows is no single task. Nothing but the table of sources is
 ``MAX_BROADCAST`` rows, which is counted first.
 
 Defined results: null and blank texts have size 0 and are never taken; null sources are one source, the last; rows that
-repeat count each for itself; an empty table gives an empty mix; other columns are passed over.
+repeat, or share a doc_id, or have none, count each for itself; an empty table gives an empty mix; other columns are
+passed over.
 """
 
 from __future__ import annotations
@@ -77,29 +78,33 @@ def slots(src: DataFrame, seed: int = 0) -> DataFrame:
         "s", "block", "pass", "n_take", F.floor(F.col("_k") / SHARD_SLOTS).alias("shard"), (F.col("_k") % SHARD_SLOTS).alias("slot"))
 
 
-def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(documents, sources): documents with size, s and start, their first word's place in the source; both are written tables."""
-    sizes = C.written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), C.n_words(F.col(text_col)).alias("size")), "mix-sizes")
+def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, sources): documents with size, s and start, their first word's place in the source; both are written tables.
+    row_col names each row and is kept as row_id; rows of one doc_id and size are then told apart by their texts."""
+    own = [F.col(row_col).alias("row_id"), F.xxhash64(text_col).alias("_h")] if row_col else []
+    key = ["doc_id", "size", *(["_h"] if row_col else [])]
+    sizes = C.written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), C.n_words(F.col(text_col)).alias("size"), *own), "mix-sizes")
     src = C.written(targets(sizes), "mix-sources")
     few = src.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     small = src.select(F.col("source").alias("_source"), "s", "source_size", "target", F.greatest(F.ceil(F.col("n_docs") / BUCKET), F.lit(1)).alias("_buckets"))
     own = sizes.join(F.broadcast(small) if few else small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    own = own.withColumn("_b", F.pmod(F.xxhash64("doc_id", "size"), F.col("_buckets"))).drop("_buckets")
-    own = own.withColumn("_at", F.sum("size").over(W.partitionBy("s", "_b").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    own = own.withColumn("_b", F.pmod(F.xxhash64(*key), F.col("_buckets"))).drop("_buckets")
+    own = own.withColumn("_at", F.sum("size").over(W.partitionBy("s", "_b").orderBy(*key).rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     base = own.groupBy("s", "_b").agg(F.sum("size").alias("_n"))
     base = base.select("s", "_b", (F.sum("_n").over(W.partitionBy("s").orderBy("_b")) - F.col("_n")).alias("_base"))
-    return C.written(own.join(base, ["s", "_b"]).withColumn("start", F.col("_base") + F.col("_at")).drop("_b", "_base", "_at"), "mix-index"), src
+    return C.written(own.join(base, ["s", "_b"]).withColumn("start", F.col("_base") + F.col("_at")).drop("_b", "_base", "_at", "_h"), "mix-index"), src
 
 
 def mix(index: DataFrame, src: DataFrame, seed: int = 0) -> DataFrame:
     """The mix: a row for each run of a document's words in an output slot: shard, slot, place of the run in it, doc_id,
-    s and start (which name the document's row), pass, from_word, n_words."""
+    s and start (which name the document's row), row_id where index has it, pass, from_word, n_words."""
+    row = [c for c in ("row_id",) if c in index.columns]
     end = F.col("start") + F.col("size")
-    parts = index.where("size > 0").select("doc_id", "s", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))).alias("block"))
+    parts = index.where("size > 0").select("doc_id", "s", "start", *row, "size", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))).alias("block"))
     first = F.col("block") * BLOCK
     out = slots(src, seed).hint("merge").join(parts, ["s", "block"])  # both grow with the input, so neither is broadcast
     out = out.withColumn("_from", F.greatest("start", first)).withColumn("n_words", F.least(end, first + F.col("n_take")) - F.col("_from"))
-    return out.where("n_words > 0").select("shard", "slot", (F.col("_from") - first).alias("place"), "doc_id", "s", "start", "pass", (F.col("_from") - F.col("start")).alias("from_word"), "n_words")
+    return out.where("n_words > 0").select("shard", "slot", (F.col("_from") - first).alias("place"), "doc_id", "s", "start", *row, "pass", (F.col("_from") - F.col("start")).alias("from_word"), "n_words")
 
 
 def shard_counts(src: DataFrame, seed: int = 0) -> DataFrame:
@@ -109,11 +114,12 @@ def shard_counts(src: DataFrame, seed: int = 0) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents of the mix, with docs' own columns: a row for each pass that takes words of a document, with those
-    words as its text (the text unchanged, where all are taken). Rows that repeat a doc_id here count as one document, the least."""
-    rows = docs.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    index, src = indexed(rows.select("row.*"))
-    runs = mix(index, src, seed).groupBy(F.col("doc_id").alias("id"), "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("runs"), F.sum("n_words").alias("n"))
-    out = rows.select("row").join(runs, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    words as its text (the text unchanged, where all are taken). Rows are named by a written row id, so those that share a
+    doc_id, or have none, are documents of their own."""
+    rows = C.written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("row")), "mix-rows")
+    index, src = indexed(rows.select("_row", "row.doc_id", "row.text", "row.source"), row_col="_row")
+    runs = mix(index, src, seed).groupBy("row_id", "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("runs"), F.sum("n_words").alias("n"))
+    out = rows.join(runs, F.col("_row") == F.col("row_id"))
     text = F.col("row.text")
     part = C.let(C.words(text), lambda w: F.array_join(F.flatten(F.transform(F.col("runs"), lambda r: F.slice(w, r["from_word"].cast("int") + 1, r["n_words"].cast("int")))), " "))
     out = out.withColumn("text", F.when(F.col("n") == C.n_words(text), text).otherwise(part))

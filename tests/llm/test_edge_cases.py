@@ -96,6 +96,19 @@ def test_mixing(docs, none):
     assert mixing.mix(index, src).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_mixed_documents_keeps_rows_without_own_id(spark, docs):
+    """One source's target is its size, so each row comes once, unchanged: null ids, one id under two texts, equal rows."""
+    rows = [(None, f"no id {k} " + "w " * k, "a") for k in range(40)] + [(7, "one text", "a"), (7, "other text", "a"), (7, "a third and longer text", "a"), (8, "same", "a"), (8, "same", "a"), (9, " ", "a"), (None, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert rows_of(mixing.mixed_documents(df), "doc_id", "text", "source") == Counter(r for r in rows if words(r[1]))
+    taken, want = Counter(), Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        taken[r.source] += len(words(r.text))
+    for r in mixing.indexed(docs)[1].collect():
+        want[r.source] = min(round(r.target), 3 * r.source_size)
+    assert taken == want
+
+
 def test_targets_by_hand(spark):
     """100 words, weights 1, 2, 3: the last source stops at 3 * 10, and the other two share 70 as 1 : 2."""
     sizes = spark.createDataFrame([("a", 60), ("b", 30), ("c", 10)], "source string, size long")
