@@ -1,9 +1,12 @@
 """License scan by sentence rules (native).
 
-Texts are cut into sentences and normalised; a sentence that a rule knows becomes its identifier, and runs of identifiers
-are matched against ordered rules. A match needs all sentences of its rule in order and next to each other; a match
-that lies within a longer one gives way to it. The sentence table is a broadcast of at most ``MAX_BROADCAST`` rows
-(counted first; a shuffled join beyond). All other steps are narrow or grouped by document row.
+Texts are cut into pieces (lines, and sentences within lines) and normalised. A sentence of a rule is a piece, or as many
+pieces as it is wrapped over: a single line end is a blank in it, also with comment marks before the next line, but a
+blank line or a line that ends in . ! ? ; : ends it. A match needs all sentences of its rule in order and next to each
+other, starts and ends with pieces, and gives way to a longer one that it lies within. Pieces that are the first words of
+a rule find it in a broadcast of at most ``MAX_BROADCAST`` rows (counted first; a shuffled join beyond); the pieces from
+there, no more than the rule has words, are then held against the whole rule. All other steps are narrow or grouped by
+document row.
 
 Defined results: null and empty texts match nothing; rows that repeat match each for itself; an empty table gives no
 rows; texts of any length are scanned whole; other columns are passed over.
@@ -50,9 +53,15 @@ RULES = (
 )
 
 
-def sentences(text: Column) -> Column:
-    """Texts cut at line ends and after . ! ? ; : before a blank."""
-    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;:])[ \t\r\f]+", "$1\n"), "\n")
+def pieces(text: Column) -> Column:
+    """Texts cut at line ends and after . ! ? ; : before a blank, normalised, without empty ones. Each piece ends in "|", or in
+    a line end where its sentence may go on in the next."""
+    t = F.concat(F.translate(F.coalesce(text, F.lit("")), "\x01", "\x02"), F.lit("\x01"))
+    t = F.regexp_replace(t, r"\n[^\p{L}\p{N}\n\x01]+", "\n")  # comment marks
+    t = F.regexp_replace(t, r"""[.!?;:](?:[ \t\r\f]+|["')\]]*[ \t\r\f]*\n)|\n\n+""", "\x01")
+    t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\n\x01]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \n\x01]*\x01[ \n\x01]*", "|"), r" *\n *", "\n")
+    return F.filter(F.split(F.ltrim(t), r"(?<=[\n|])"), lambda p: F.length(p) > 1)
 
 
 def normalised(sentence: Column) -> Column:
@@ -61,28 +70,38 @@ def normalised(sentence: Column) -> Column:
 
 
 def rule_tables(spark, rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """(sentences: norm, sid; rules: rule, license, sids)."""
-    said = spark.createDataFrame(sorted({s for _, _, ss in rules for s in ss}), "string").select(normalised(F.col("value")).alias("norm")).distinct()
-    said = said.select("norm", F.xxhash64("norm").alias("sid"))
-    sids = F.transform(F.col("said"), lambda s: F.xxhash64(normalised(s)))
-    return said, spark.createDataFrame([(a, b, list(c)) for a, b, c in rules], "license string, rule string, said array<string>").select("license", "rule", sids.alias("sids"))
+    """(heads: norm, k for the first words of each rule, as many as a piece may have; rules: k, license, rule, n_said, n_words, pattern)."""
+    known = spark.createDataFrame([(k, a, b, list(c)) for k, (a, b, c) in enumerate(rules)], "k long, license string, rule string, said array<string>")
+    norms = F.transform("said", normalised)
+    within = lambda s: F.replace(normalised(s), F.lit(" "), F.lit("[ \n]"))
+    # a sentence without an end mark may be followed by the next one in the same piece
+    ends = lambda s: F.when(s.rlike(r"[.!?;:]\s*$"), F.lit("[\n|]")).otherwise(F.lit("[ \n|]"))
+    n = F.size("said")
+    parts = F.transform("said", lambda s, i: F.concat(within(s), F.when(i == n - 1, F.lit("[\n|]")).otherwise(ends(s))))
+    known = known.select("k", "license", "rule", n.cast("long").alias("n_said"), F.concat(F.lit("^"), F.array_join(parts, "")).alias("pattern"), F.split(F.array_join(norms, " "), " ").alias("_w"))
+    heads = known.select("k", F.explode(F.transform("_w", lambda _, i: F.array_join(F.slice("_w", F.lit(1), i + 1), " "))).alias("norm"))
+    return heads, known.select("k", "license", "rule", "n_said", F.size("_w").alias("n_words"), "pattern")
 
 
 def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, license, rule, first_sentence (from 0, empty ones not counted), n_sentences: a row for each match."""
-    said, known = rule_tables(docs.sparkSession, rules)
-    said = F.broadcast(said) if len(rules) <= MAX_BROADCAST and said.count() <= MAX_BROADCAST else said
-    rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.filter(F.transform(sentences(F.col(text_col)), normalised), lambda s: s != "").alias("_s"))
-    found = rows.select("_id", "_row", F.posexplode("_s").alias("at", "norm")).join(said, "norm").select("_id", "_row", "at", "sid")
-    runs = found.groupBy("_row").agg(F.first("_id").alias("_id"), F.array_sort(F.collect_list(F.struct("at", "sid"))).alias("seq"))
-    starts = runs.select("_row", "_id", "seq", F.posexplode("seq").alias("k", "x")).join(F.broadcast(known) if len(rules) <= MAX_BROADCAST else known, F.col("x.sid") == F.col("sids")[0])
-    part = F.slice(F.col("seq"), F.col("k") + 1, F.size("sids"))
-    whole = (F.transform(part, lambda x: x["sid"]) == F.col("sids")) & (F.element_at(part, -1)["at"] - F.col("x.at") == F.size("sids") - 1)
-    hits = starts.where(whole).groupBy("_row").agg(F.first("_id").alias("_id"), F.collect_list(F.struct("license", "rule", F.col("x.at").cast("long").alias("first_sentence"), F.size("sids").cast("long").alias("n_sentences"))).alias("hits"))
-    end = lambda h: h["first_sentence"] + h["n_sentences"]
-    within = lambda h, o: (o["n_sentences"] > h["n_sentences"]) & (o["first_sentence"] <= h["first_sentence"]) & (end(o) >= end(h))
+    """id, license, rule, first_sentence (the piece it starts with, from 0, empty ones not counted), n_sentences: a row for each match."""
+    heads, known = rule_tables(docs.sparkSession, rules)
+    small = len(rules) <= MAX_BROADCAST and heads.count() <= MAX_BROADCAST
+    heads = heads.join(F.broadcast(known) if small else known, "k").drop("k")
+    rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), pieces(F.col(text_col)).alias("_s"))
+    starts = rows.select("_id", "_row", "_s", F.posexplode("_s").alias("at", "_p")).withColumn("norm", F.expr("left(_p, length(_p) - 1)"))
+    if not small:  # no whole texts in the shuffle
+        most = known.agg(F.max("n_words")).first()[0] or 0
+        starts = starts.withColumn("_s", F.slice("_s", F.col("at") + 1, most))
+    starts = starts.join(F.broadcast(heads) if small else heads, "norm")
+    text = F.array_join(F.slice("_s", F.col("at") + 1 if small else F.lit(1), F.col("n_words")), "")
+    found = starts.select("_id", "_row", "at", "license", "rule", "n_said", F.call_function("regexp_extract", text, F.col("pattern"), F.lit(0)).alias("_m")).where("_m <> ''")
+    hit = F.struct("license", "rule", F.col("at").cast("long").alias("first_sentence"), F.col("n_said").alias("n_sentences"), F.length(F.regexp_replace("_m", r"[^\n|]", "")).cast("long").alias("n_pieces"))
+    hits = found.groupBy("_row").agg(F.first("_id").alias("_id"), F.collect_list(hit).alias("hits"))
+    end = lambda h: h["first_sentence"] + h["n_pieces"]
+    within = lambda h, o: (o["n_pieces"] > h["n_pieces"]) & (o["first_sentence"] <= h["first_sentence"]) & (end(o) >= end(h))
     best = F.filter(F.col("hits"), lambda h: ~F.exists(F.col("hits"), lambda o: within(h, o)))
-    return hits.select(F.col("_id").alias(id_col), F.inline(best))
+    return hits.select(F.col("_id").alias(id_col), F.inline(best)).drop("n_pieces")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -129,6 +129,28 @@ def test_license_scan(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_scan_wrapped(spark):
+    """Rules wrapped at any width, as comments and on one line; sentences still end at marks, blank lines and for one-line notices."""
+    import textwrap
+
+    rules = {b: (a, c) for a, b, c in licenses.RULES}
+    mit, apache = rules["mit-text"][1], rules["apache-header"][1]
+    texts = [("mit-text", f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{textwrap.fill(mit[0], w)}\n\n{textwrap.fill(mit[1], w)}\n\nTHE SOFTWARE IS PROVIDED") for w in (30, 70, 76, 80)]
+    texts += [("mit-text", "/*\n" + textwrap.fill(" ".join(mit), 72, initial_indent=mark, subsequent_indent=mark).replace("\n", "\r\n") + "\n*/") for mark in ("# ", "// ", " * ", "; ", "-- ", "! ")]
+    texts += [("apache-header", textwrap.fill(" ".join(apache), w, initial_indent=mark, subsequent_indent=mark, break_long_words=False)) for w in (40, 75, 999) for mark in ("", "# ")]
+    texts += [("apache-header", "\n".join("# " + x for x in [*apache[:3], "", "    " + apache[3]])), ("mit-notice", "say more\nReleased under the MIT\nLicense.\nand on"), ("mit-notice-reserved", "Released under the\nMIT License. All rights\nreserved.\n"), ("mit-notice", "no end mark\nReleased under the MIT License\nno end mark")]
+    texts += [(None, x) for x in ("Released under the\n\nMIT License.", "Released under the.\nMIT License.", "# Released under the\n#\n# MIT License.", "x released under the\nMIT License.", "Released under the\nMIT License and more", "Released\x01.\nunder the MIT License.", "Released\n" * 500)]
+    df = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = Counter((k, rules[r][0], r, len(rules[r][1])) for k, (r, _) in enumerate(texts) if r)
+    assert rows_of(licenses.scan(df), "doc_id", "license", "rule", "n_sentences") == want
+
+
+def test_license_scan_shuffled(docs, monkeypatch):
+    want = rows_of(licenses.scan(docs), "doc_id", "license", "rule", "first_sentence", "n_sentences")
+    monkeypatch.setattr(licenses, "MAX_BROADCAST", 2)
+    assert rows_of(licenses.scan(docs), "doc_id", "license", "rule", "first_sentence", "n_sentences") == want and want
+
+
 def test_sharding(docs, none):
     for head in (20_000, 2):
         got = sharding.shard(docs, shards=4, head=head).collect()
