@@ -6,8 +6,8 @@ Identifiers are derived from the response's, so a rerun gives the same records.
 step, and ``write`` makes valid WARC files out of the records with Spark's own text sink, a file a partition.
 
 Defined results: a null payload is empty; a null URI leaves out the URI header and the links stay relative; rows that
-repeat give repeated records; broken markup never raises (an unclosed comment or script runs to the end, a lone "<"
-is text); an empty table gives no records; other columns are passed over.
+repeat give repeated records; broken markup never raises (an unclosed comment, script, style or textarea runs to the end;
+an unclosed svg, template, noscript or title and a self-closed svg lose their own tag only; a lone "<" is text); an empty table gives no records; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, header string, block string"
 
 #: Every pattern runs in linear time: none goes past the next "<" but those that may end only at their own end or the text's.
-DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|svg)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+DROPPED = re.compile(r"""<!--|<(script|style|noscript|template|title|textarea|svg)(?![\w-])(?:(?:[^<>"']|"[^"<]*"|'[^'<]*')*+|[^<>]*)>""", re.I)
+ENDS = {k: re.compile(rf"</{k}\s*>" if k else "-->", re.I) for k in ("", "script", "style", "noscript", "template", "title", "textarea", "svg")}
+TO_THE_END = ("", "script", "style", "textarea")
 BLOCKS = re.compile(r"""</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|tr|ul)\b(?:[^<>"']|"[^"<]*"|'[^'<]*')*+>""", re.I)
 TAGS = re.compile(r"""</?[a-zA-Z!?](?:[^<>"']|"[^"<]*"|'[^'<]*')*+>""")
 TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
@@ -40,9 +42,27 @@ HREF = re.compile(r"""<a\b[^<>]*?\bhref\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'
 SPACE = re.compile(r"[^\S\n]+")
 
 
+def without_dropped(page: str) -> str:
+    """A page with a blank for each comment and element that isn't shown. Each kind of end is looked for until it is first missed, so time stays linear."""
+    out, at, missed = [], 0, set()
+    while m := DROPPED.search(page, at):
+        kind = (m[1] or "").lower()
+        alone = kind in missed or (kind == "svg" and m[0].endswith("/>"))
+        end = None if alone else ENDS[kind].search(page, m.end())
+        out += [page[at : m.start()], " "]
+        if end:
+            at = end.end()
+        elif kind in TO_THE_END:
+            at = len(page)
+        else:
+            at = m.end()
+            missed |= set() if alone else {kind}
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """The visible text of a page, a line for each block, without blank lines."""
-    text = html.unescape(TAGS.sub("", BLOCKS.sub("\n", DROPPED.sub(" ", page))))
+    text = html.unescape(TAGS.sub("", BLOCKS.sub("\n", without_dropped(page))))
     return "\n".join(x for x in (x.strip() for x in SPACE.sub(" ", text).split("\n")) if x)
 
 

@@ -296,6 +296,18 @@ def test_warc(spark):
     assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
 
 
+def test_warc_keeps_text_after_icons():
+    got = warc.plain_text
+    assert got('<p>a</p><svg class="i"/><p>rest of the page</p>') == "a\nrest of the page"
+    assert got('<p>a</p><svg a="x>y" /><p>b</p><svg><text>no</text></svg>c') == "a\nb\nc"
+    for kind in ("svg", "template", "noscript", "title"):
+        assert got(f"<p>a</p><{kind} x=1><p>b</p><{kind.upper()}>c") == "a\nb\nc"
+        assert got(f"<p>a</p><{kind}>no</{kind}><{kind}><p>b</p>") == "a\nb"
+    for kind in ("script", "style", "textarea"):
+        assert got(f"<p>a</p><{kind}>no<p>b</p>") == "a"
+    assert got("<svg>" * 200_000 + "x") == "x"
+
+
 def test_warc_files_read_back(spark, tmp_path):
     df = spark.createDataFrame([(k, f"http://h/{k}", f"<p>text {k}\n\nmore") for k in range(9)], "page_id long, url string, html string")
     records = warc.derivatives(warc.responses(df))
