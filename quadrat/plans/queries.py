@@ -825,10 +825,7 @@ def graph_mst(spark, d):
 
 @query()
 def graph_betweenness(spark, d):
-    """A graph for each region: nations, by their customers' and suppliers' parts; small, so one task each."""
-    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("graph_id"), F.col("n_nationkey").cast("long").alias("k"))
-    e = n.alias("a").join(n.alias("b"), "graph_id").where("a.k < b.k").select("graph_id", F.col("a.k").alias("src"), F.col("b.k").alias("dst"), ((F.col("a.k") * 7 + F.col("b.k") * 3) % 5 + 1).cast("double").alias("length"))
-    return graphs.betweenness(e)
+    return graphs.betweenness_waves(edges(spark, d))
 
 
 @query()

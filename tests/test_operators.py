@@ -1,6 +1,7 @@
 """Operators on small tables with known results, and against plain numpy."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -409,3 +410,15 @@ def test_fields(spark):
     out = np.zeros_like(v)
     out[got.x, got.y, got.z] = got["value"]
     assert np.allclose(out, whole, atol=1e-6)
+
+
+def test_betweenness_waves(spark):
+    """Against the form for graphs that fit a task: ties, repeated and self edges, two components; and the query over the whole graph."""
+    from quadrat.plans import queries as plans
+
+    rnd = random.Random(6)
+    rows = [(a, b, float(rnd.randint(1, 3))) for a, b in ((rnd.randint(0, 14), rnd.randint(0, 14)) for _ in range(30))] + [(20, 21, 1.0), (21, 22, 1.0), (1, 1, 1.0)]
+    made = spark.createDataFrame(rows, "src long, dst long, length double")
+    for e, got in ((made, graphs.betweenness_waves(made)), (plans.edges(spark, "/root/testdata/sf0.001"), plans.QUERIES["graph_betweenness"](spark, "/root/testdata/sf0.001"))):
+        want = {r.vid: r.betweenness for r in graphs.betweenness(graphs.simple(e).withColumn("graph_id", F.lit(1))).collect()}
+        assert {r.vid: r.betweenness for r in got.collect()} == pytest.approx(want, abs=1e-6) and max(want.values()) > 0
