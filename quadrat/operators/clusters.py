@@ -14,6 +14,7 @@ from quadrat.functions import stats as S
 from quadrat.operators.components import components
 from quadrat.operators.inference import with_tail
 from quadrat.operators.points import XYZ, pairs_within
+from quadrat.storage import settling
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -81,25 +82,32 @@ def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
     return out.withColumn("fraction", F.col("n") / F.sum("n").over(W.partitionBy()))
 
 
+@settling
 def single_linkage(points: DataFrame, radius: float, keys: Sequence[str], id_col: str = "part_id", axes: Sequence[str] = XYZ) -> DataFrame:
     """keys, id, cluster (least id): flat single linkage, the components of pairs at most radius apart; each point its own if radius is 0 or less."""
     own = points.select(*keys, F.col(id_col).alias("id"))
     if radius <= 0:
         return own.withColumn("cluster", F.col("id"))
-    pairs = pairs_within(points, points, radius, keys, axes).select(F.col(f"a.{id_col}").alias("u"), F.col(f"b.{id_col}").alias("v")).where("u < v")
-    return own.join(components(pairs).withColumnRenamed("u", "id"), "id", "left").select(*keys, "id", F.coalesce("root", "id").alias("cluster"))
+    # Ids may start anew in each key, so a vertex is its keys and id.
+    end = lambda p: F.struct(*keys, F.col(f"{p}.{id_col}").alias("id"))
+    pairs = pairs_within(points, points, radius, keys, axes).select(end("a").alias("u"), end("b").alias("v")).where("u < v")
+    roots = components(pairs).select(*[F.col(f"u.{k}").alias(k) for k in [*keys, "id"]], F.col("root.id").alias("cluster"))
+    return own.join(roots, [*keys, "id"], "left").select(*keys, "id", F.coalesce("cluster", "id").alias("cluster"))
 
 
+@settling
 def dbscan(points: DataFrame, eps: float, least: int, keys: Sequence[str], id_col: str = "part_id", axes: Sequence[str] = XYZ) -> DataFrame:
     """keys, id, cluster (least core id of it; -1 is noise). A point is core with that many points, itself too, at most eps away;
     a border point goes to the cluster of its nearest core, ties to the smaller id."""
     pairs = pairs_within(points, points, eps, keys, axes).select(*keys, F.col(f"a.{id_col}").alias("id"), F.col(f"b.{id_col}").alias("other"), "dist")
-    core = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("id")
-    near = pairs.join(core.withColumnRenamed("id", "other"), "other", "left_semi")
-    links = near.join(core, "id", "left_semi").where("id < other").select(F.col("id").alias("u"), F.col("other").alias("v"))
-    roots = core.join(components(links).withColumnRenamed("u", "id"), "id", "left").select(F.col("id").alias("other"), F.coalesce("root", "id").alias("cluster"))
-    nearest = near.groupBy("id").agg(F.min(F.struct("dist", "other")).alias("_b")).select("id", F.col("_b.other").alias("other")).join(roots, "other").select("id", "cluster")
-    return points.select(*keys, F.col(id_col).alias("id")).join(nearest, "id", "left").select(*keys, "id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
+    own, far = [*keys, "id"], [*keys, "other"]
+    core = pairs.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(*own)
+    near = pairs.join(core.withColumnRenamed("id", "other"), far, "left_semi")
+    links = near.join(core, own, "left_semi").where("id < other").select(F.struct(*own).alias("u"), F.struct(*keys, F.col("other").alias("id")).alias("v"))
+    roots = components(links).select(*[F.col(f"u.{k}").alias(k) for k in own], F.col("root.id").alias("root"))
+    roots = core.join(roots, own, "left").select(*keys, F.col("id").alias("other"), F.coalesce("root", "id").alias("cluster"))
+    nearest = near.groupBy(*own).agg(F.min(F.struct("dist", "other")).alias("_b")).select(*own, F.col("_b.other").alias("other")).join(roots, far).select(*own, "cluster")
+    return points.select(*keys, F.col(id_col).alias("id")).join(nearest, own, "left").select(*own, F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 def _per_group(df: DataFrame, keys: Sequence[str], run, schema: str) -> DataFrame:

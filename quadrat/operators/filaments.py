@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrat.operators import graphs
 from quadrat.plans.predicates import Range
-from quadrat.storage import written
+from quadrat.storage import settling, written
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, limit: float) -> DataFrame:

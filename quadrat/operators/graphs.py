@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrat.operators.components import components
 from quadrat.operators.tables import compare
-from quadrat.storage import written
+from quadrat.storage import discard, settling, written
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -70,6 +70,7 @@ def subgraph_ids(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("vid").join(roots, "vid", "left").select("vid", F.coalesce("root", "vid").alias("component"))
 
 
+@settling
 def bounded_distances(edges: DataFrame, sources: DataFrame, limit: float, strict: bool = True) -> DataFrame:
     """source, vid, dist: shortest paths from each source (vid) that stay below (or at) limit; the source itself at 0.
 
@@ -83,10 +84,13 @@ def bounded_distances(edges: DataFrame, sources: DataFrame, limit: float, strict
         step = front.join(e, front["vid"] == e["src"]).select("source", F.col("dst").alias("vid"), (F.col("dist") + F.col("length")).alias("dist"))
         step = step.where(inside(F.col("dist"))).groupBy("source", "vid").agg(F.min("dist").alias("dist"))
         old = best.withColumnRenamed("dist", "_old")
-        front = written(step.join(old, ["source", "vid"], "left").where(F.col("_old").isNull() | (F.col("dist") < F.col("_old"))).drop("_old"))
+        last, front = front, written(step.join(old, ["source", "vid"], "left").where(F.col("_old").isNull() | (F.col("dist") < F.col("_old"))).drop("_old"))
         if front.isEmpty():
             return best
-        best = written(best.unionByName(front).groupBy("source", "vid").agg(F.min("dist").alias("dist")))
+        if last is not best:
+            discard(last)
+        last, best = best, written(best.unionByName(front).groupBy("source", "vid").agg(F.min("dist").alias("dist")))
+        discard(last)
 
 
 def field_within(distances: DataFrame, vertices: DataFrame, field: str) -> DataFrame:
@@ -124,6 +128,7 @@ def bilateral(paths: DataFrame, vertices: DataFrame, field: str, c: float) -> Da
     return paths.join(f, "vid").groupBy(F.col("source").alias("vid")).agg(F.sum(F.col("_f") * w).alias("value"))
 
 
+@settling
 def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85, weight: Column | None = None) -> DataFrame:
     """vid, rank after so many rounds from 1 / n; undirected, by edge weights if given; vertices without edges keep no rank to pass on."""
     e = both_ways(edges).withColumn("_w", F.lit(1.0) if weight is None else weight)
@@ -137,6 +142,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int, damping: float
     return rank
 
 
+@settling
 def random_walk_restart(vertices: DataFrame, edges: DataFrame, sources: DataFrame, c: float, rounds: int) -> DataFrame:
     """vid, r: r = (1 - c) W r + c e by so many rounds from e, with W's columns summing to 1 and e spread over the sources (vid)."""
     e = both_ways(edges)
@@ -151,6 +157,7 @@ def random_walk_restart(vertices: DataFrame, edges: DataFrame, sources: DataFram
     return r
 
 
+@settling
 def connectivity_distance(vertices: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
     """vid, steps from the start set (vid), -1 where it isn't reached."""
     e = written(both_ways(edges).select("src", "dst").distinct())
@@ -175,6 +182,7 @@ def paths_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, low:
     return d.join(targets.select("vid"), "vid", "left_semi").where((F.col("dist") >= low) & (F.col("source") != F.col("vid"))).select("source", F.col("vid").alias("target"), "dist")
 
 
+@settling
 def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     """src, dst, length of a minimum spanning forest: rounds in which every component takes its least edge; ties by (length, src, dst)."""
     e = written(simple(edges))
@@ -240,6 +248,7 @@ def betweenness(edges: DataFrame, key: str = "graph_id") -> DataFrame:
     return edges.groupBy(key).applyInPandas(run, f"{key} {kind}, vid {edges.schema['src'].dataType.simpleString()}, betweenness double")
 
 
+@settling
 def betweenness_waves(edges: DataFrame) -> DataFrame:
     """vid, betweenness (each pair once) of one graph that need not fit a task; lengths are positive.
 
@@ -302,20 +311,28 @@ def max_flow(edges: DataFrame, source: int, sink: int, key: str = "graph_id") ->
     return edges.groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, flow double")
 
 
+@settling
 def communities(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """vid, community by label propagation: each vertex takes the label with most edge weight around it, ties to the least; its own counts too."""
-    e = written(both_ways(edges).select("src", "dst", "length"))
+    """vid, community by label propagation: each vertex takes the label with most edge weight around it, ties to the least.
+
+    In round r only the vertices whose hash agrees with r's parity move, so that neighbours do not swap labels for ever; it
+    ends when two rounds change nothing, or after so many.
+    """
+    e, still = written(both_ways(simple(edges)).select("src", "dst", "length")), 0
     label = written(vertices.select("vid", F.col("vid").alias("community")))
-    for _ in range(rounds):
+    for r in range(rounds):
         votes = e.join(label, e["dst"] == label["vid"]).groupBy("src", "community").agg(F.sum("length").alias("w"))
         best = votes.groupBy("src").agg(F.min(F.struct(-F.col("w"), "community")).alias("b")).select(F.col("src").alias("_v"), F.col("b.community").alias("_c"))
-        new = written(label.join(best, F.col("vid") == F.col("_v"), "left").select("vid", F.least("community", F.coalesce("_c", "community")).alias("community")))
-        if new.exceptAll(label).isEmpty():
-            return new
+        turn = F.xxhash64("vid").bitwiseAND(F.lit(1)) == r % 2
+        new = written(label.join(best, F.col("vid") == F.col("_v"), "left").select("vid", F.when(turn, F.coalesce("_c", "community")).otherwise(F.col("community")).alias("community")))
+        still = still + 1 if new.exceptAll(label).isEmpty() else 0
         label = new
+        if still == 2:
+            break
     return label
 
 
+@settling
 def pseudo_diameter(edges: DataFrame, start: DataFrame, limit: float = float("inf")) -> DataFrame:
     """source, vid, dist of the farthest pair that two sweeps find."""
     first = bounded_distances(edges, start, limit).orderBy(F.desc("dist"), "vid").limit(1).select("vid")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.storage import written
+from quadrat.storage import settling, written
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -14,6 +14,7 @@ def children(nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(c, "id", "left").select("id", F.coalesce("n_children", F.lit(0)).alias("n_children"))
 
 
+@settling
 def ancestors(nodes: DataFrame) -> DataFrame:
     """id, ancestor, steps: a round for each level of the tree."""
     up = written(nodes.where("parent_id IS NOT NULL").select("id", "parent_id"))
@@ -36,6 +37,7 @@ def new_ids(nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(nodes.select(F.col("parent_id").alias("id")), "id", "left_anti")
 
 
+@settling
 def branch_tops(nodes: DataFrame) -> DataFrame:
     """id, top: from each childless node up while the parent has a single child."""
     single = nodes.groupBy("parent_id").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1 AND parent_id IS NOT NULL").select(F.col("parent_id").alias("_s"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrat.functions import stats as S
+from quadrat.storage import written
 
 
 def with_tail(df: DataFrame, tail, *columns: str, to: str = "p") -> DataFrame:
@@ -25,7 +26,8 @@ def with_tail(df: DataFrame, tail, *columns: str, to: str = "p") -> DataFrame:
 def mid_ranks(df: DataFrame, value: str) -> DataFrame:
     """df with rank (mean rank of equal values) and ties (how many are equal). Ranked over the distinct values' running counts."""
     n = df.groupBy(value).agg(F.count(F.lit(1)).alias("ties"))
-    parts = n.repartitionByRange(F.col(value)).withColumn("_p", F.spark_partition_id())
+    # Written, since ranges are drawn from samples: a second run of the exchange may cut them elsewhere.
+    parts = written(n.repartitionByRange(F.col(value)).withColumn("_p", F.spark_partition_id()))
     base = parts.groupBy("_p").agg(F.sum("ties").alias("_n"))
     base = base.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_base"))  # a row for each range
     below = F.sum("ties").over(W.partitionBy("_p").orderBy(value)) - F.col("ties")

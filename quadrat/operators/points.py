@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadrat.storage import written
+from quadrat.storage import settling, written
 
 XYZ = ("x", "y", "z")
 
@@ -55,6 +55,7 @@ def cell_size(points: DataFrame, per_cell: float = 4.0, axes: Sequence[str] = XY
     return max((volume * per_cell / max(1.0, r["_n"] / max(1, r["_k"]))) ** (1 / len(spans)), max(spans) / 2**20, 1e-300)
 
 
+@settling
 def knn(left: DataFrame, right: DataFrame, k: int = 1, keys: Sequence[str] = (), left_id: str = "part_id", right_id: str = "part_id", axes: Sequence[str] = XYZ, exclude_self: bool = False, cell: float | None = None) -> DataFrame:
     """keys, id, other, dist, rank: the k nearest right points of each left point of the same keys, ties to the smaller id.
 

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from quadrat.operators.points import XYZ, pairs_within
 from quadrat.operators.tables import compare
-from quadrat.storage import written
+from quadrat.storage import settling, written
 
 
+@settling
 def suppressed(points: DataFrame, scale: float, keys: Sequence[str], weight: str | None = None, id_col: str = "part_id", axes: Sequence[str] = XYZ, skip_zero: bool = False) -> DataFrame:
     """The points that a sweep by falling weight (then id) keeps: each one kept suppresses all nearer than scale.
 
@@ -28,8 +29,9 @@ def suppressed(points: DataFrame, scale: float, keys: Sequence[str], weight: str
         pairs = pairs.where("dist > 0")
     a, b = f"a.{id_col}", f"b.{id_col}"
     better = (F.col("a._w") > F.col("b._w")) | ((F.col("a._w") == F.col("b._w")) & (F.col(a) < F.col(b)))
-    over = written(pairs.where(better).select(F.col(a).alias("over"), F.col(b).alias("id")))
-    kept, open_ = None, written(points.select(F.col(id_col).alias("id")))
+    vertex = lambda c: F.struct(*keys, F.col(c).alias(id_col))  # noqa: E731  (ids may start anew in each key)
+    over = written(pairs.where(better).select(vertex(a).alias("over"), vertex(b).alias("id")))
+    kept, open_ = None, written(points.select(vertex(id_col).alias("id")))
     while True:
         # free: no open point is better; they stay, and what they suppress goes
         live = over.join(open_.withColumnRenamed("id", "over"), "over", "left_semi")
@@ -38,13 +40,13 @@ def suppressed(points: DataFrame, scale: float, keys: Sequence[str], weight: str
         gone = over.join(free.withColumnRenamed("id", "over"), "over", "left_semi").select("id").distinct()
         open_ = written(open_.join(free, "id", "left_anti").join(gone, "id", "left_anti"))
         if open_.isEmpty():
-            return points.join(kept.withColumnRenamed("id", id_col), id_col, "left_semi")
+            return points.join(kept.select("id.*"), [*keys, id_col], "left_semi")
 
 
 def property_peaks(points: DataFrame, prop: str, least: float, scale: float, n_scale: float, n_least: int, keys: Sequence[str], id_col: str = "part_id") -> DataFrame:
     """Peaks by falling prop: above the threshold, with n_least points (itself too) at most n_scale away, suppressing within scale."""
-    near = pairs_within(points, points, n_scale, keys).groupBy(F.col(f"a.{id_col}").alias(id_col)).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n_least).select(id_col)
-    return suppressed(points.where(F.col(prop) >= least).join(near, id_col, "left_semi"), scale, keys, prop, id_col)
+    near = pairs_within(points, points, n_scale, keys).groupBy(*keys, F.col(f"a.{id_col}").alias(id_col)).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n_least).drop("_n")
+    return suppressed(points.where(F.col(prop) >= least).join(near, [*keys, id_col], "left_semi"), scale, keys, prop, id_col)
 
 
 def percentile_cut(df: DataFrame, column: str, p: float, op: str, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quadrat.storage import written
+
 OPERATORS = {"eq": "__eq__", "ne": "__ne__", "gt": "__gt__", "ge": "__ge__", "lt": "__lt__", "le": "__le__"}
 
 
@@ -18,7 +20,8 @@ def compare(column: Column, op: str, value) -> Column:
 
 def numbered(df: DataFrame, *order: str, to: str = "row_id") -> DataFrame:
     """df with gapless row numbers in the order given. One range exchange, then per-range counts and local numbers: no global window."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    # Written, since ranges are drawn from samples: a second run of the exchange may cut them elsewhere.
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     first = ranged.groupBy("_p").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
     base = first.select("_p", "_first", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_base"))  # a row for each partition
     return ranged.join(F.broadcast(base), "_p").withColumn(to, F.col("_base") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_first", "_base")
