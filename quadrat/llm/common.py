@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import contextlib
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrat.operators.components import components
+from quadrat.storage import discard, settled, settling, written
+
+__all__ = ["components", "discard", "settled", "settling", "written"]
+
 #: The white space of the contracts: blank and U+0009 to U+000D. All else is part of a word.
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -40,49 +40,6 @@ def count_of(text: Column, chars: str) -> Column:
     return sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in chars), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset, which only a local session may."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        top = "file://" + os.path.join(tempfile.gettempdir(), "quadrat-checkpoints")
-    return top
-
-
-#: Held while a table is written: shuffle files go as soon as it is there, and no Arrow batch outgrows a Python worker.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
-
-
-@contextlib.contextmanager
-def writing(spark: SparkSession):
-    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
-    for k, v in WHILE_WRITING.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and kept as a Parquet table in the shared folder, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    with writing(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+

@@ -26,7 +26,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrat.llm import common as C
-from quadrat.llm.components import components
 
 N, THRESHOLD, RECALL = 5, (4, 5), 0.9999
 BLOCK_SETS, BLOCK_ITEMS, TASK_ITEMS = 1024, 1_000_000, 2_000_000
@@ -144,7 +143,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: tuple[int, int] = TH
     classes = C.written(seen.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("_r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
     banded = classes.where("n > 0").select("key", F.posexplode("bands").alias("band", "code"))
     heads = banded.groupBy("band", "code").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    groups = components(banded.join(heads, ["band", "code"]).where("key <> v").select(F.col("key").alias("u"), "v"))
+    groups = C.components(banded.join(heads, ["band", "code"]).where("key <> v").select(F.col("key").alias("u"), "v"))
 
     # Each candidate group to a task, or its pairs of blocks each to a task.
     own = C.written(groups.withColumnRenamed("u", "key").join(classes.select("key", "n", "copies", "_r"), "key"), "ngram-candidates")
@@ -174,7 +173,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: tuple[int, int] = TH
 
     found = C.written(ready.groupBy("_group", "i", "j").applyInPandas(verify, "u binary, v binary, links long"), "ngram-links")
     links = found.groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("_links"))
-    roots = components(found.where("v IS NOT NULL").select("u", "v")).withColumnRenamed("u", "key")
+    roots = C.components(found.where("v IS NOT NULL").select("u", "v")).withColumnRenamed("u", "key")
 
     classes = classes.select("key", "copies", "_r").join(links, "key", "left").join(roots, "key", "left")
     classes = classes.select("key", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root"), "_r")
@@ -195,4 +194,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(C.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return C.settled(lambda: near_duplicates(C.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links"), "op7")

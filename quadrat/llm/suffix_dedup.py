@@ -308,4 +308,4 @@ def trimmed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return report(C.table(spark, sf_dir, "documents"))
+    return C.settled(lambda: report(C.table(spark, sf_dir, "documents")), "op5")
