@@ -1,15 +1,21 @@
 """Mixing sources to target weights (native).
 
 Each source is a stream of words, cut into blocks of ``BLOCK`` words (the last one may be shorter). A source's target
-says how often its blocks are taken: as many full passes as fit, then a part of one more pass. Each take is a slot.
-Within a pass a pseudorandom permutation of the source's full blocks orders the slots, and one more permutation deals
-the slots of all sources to the output shards. The source counts of the shards are thus multinomial draws on condition
-that their sums meet the targets; free draws would leave small sources up to 1 / sqrt(slots) off and could take a
-document a fourth time. Both permutations are swap-or-not shuffles: plain arithmetic for any length, without a sort.
+says how often its blocks are taken: as many full passes as fit, then a part of one more pass. Each take is a slot, and
+``SHARD_SLOTS`` slots are an output shard.
+
+* Draw: every slot of a shard draws its source, with the sources' shares of all slots as chances, so the counts of a
+  shard are one multinomial draw.
+* Index: a source's slots are numbered over all shards, by sums of the shards' counts and then within the shard.
+* Correction: a source drawn more often than its target gives the slots of the numbers beyond it to sources that were
+  drawn too seldom. About one slot in the root of a source's slots changes hands, every target is met to the word, and
+  no document is taken a fourth time, which free draws cannot promise.
+* Block: within a pass a pseudorandom permutation of the source's full blocks maps the number to a block (a swap-or-not
+  shuffle: plain arithmetic for any length, without a sort), and blocks are joined by their index.
 
 Offsets in the stream come from sums in buckets of about ``BUCKET`` documents and then over the buckets, so a source
-with a third of all rows is no single task. Nothing but the table of sources is ever broadcast, and that only up to
-``MAX_BROADCAST`` rows, which is counted first.
+with a third of all rows is no single task; shards are summed in the same way. Nothing but the table of sources is ever
+broadcast (its ranges as at most ``CELLS`` rows more), and that only up to ``MAX_BROADCAST`` rows, which is counted first.
 
 Defined results: null and blank texts have size 0 and are never taken; null sources are one source, the last; rows that
 repeat, or share a doc_id, or have none, count each for itself; an empty table gives an empty mix; other columns are
@@ -25,8 +31,7 @@ from pyspark.sql import functions as F
 from quadrat.llm import common as C
 
 BLOCK, BUCKET, SHARD_SLOTS, MAX_REPEATS = 64, 4096, 1024, 3
-CHUNK = 65_536
-MAX_BROADCAST = 10_000
+CELLS, MAX_BROADCAST = 4096, 10_000
 ROUNDS = 20
 
 
@@ -66,16 +71,59 @@ def targets(sizes: DataFrame) -> DataFrame:
     return src.withColumn("first_slot", before).withColumn("all_slots", F.sum("slots").over(every)).drop("_ratio", "_level")
 
 
+def spread(ranges: DataFrame, total: int) -> DataFrame:
+    """ranges ([lo, hi) of whole numbers below total) once for each of CELLS equal cells that they meet, so that numbers find their range by a join on _cell."""
+    cell = lambda x: F.floor(x / max(1, -(-total // CELLS)))
+    return ranges.where("lo < hi").withColumn("_cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
+
+
+def located(rows: DataFrame, x: Column, ranges: DataFrame, total: int, few: bool) -> DataFrame:
+    """rows with the columns of the one range that holds x, and _x."""
+    cells = spread(ranges, total)
+    rows = rows.withColumn("_x", x).withColumn("_cell", F.floor(F.col("_x") / max(1, -(-total // CELLS))))
+    return rows.join(F.broadcast(cells) if few else cells, "_cell").where("lo <= _x AND _x < hi").drop("_cell", "lo", "hi")
+
+
+def shard_counts(src: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(slots: shard, slot, s: what each slot draws; counts: shard, s, n, first: a source's slots in a shard, and those in all shards before)."""
+    spark, total = src.sparkSession, src.agg(F.max("all_slots")).first()[0] or 0
+    few = src.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    shards = spark.range(0, -(-total // SHARD_SLOTS), 1, C.partitions(spark)).withColumnRenamed("id", "shard")
+    last = F.least(F.lit(SHARD_SLOTS), total - F.col("shard") * SHARD_SLOTS)
+    own = shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)).alias("slot"))
+    chances = src.select("s", F.col("first_slot").alias("lo"), (F.col("first_slot") + F.col("slots")).alias("hi"))
+    drawn = located(own, F.pmod(F.xxhash64(F.lit(seed), "shard", "slot"), F.lit(max(1, total))), chances, total, few).drop("_x")
+    counts = drawn.groupBy("shard", "s").agg(F.count(F.lit(1)).alias("n")).withColumn("_b", F.floor(F.col("shard") / BUCKET))
+    counts = C.written(counts.withColumn("_at", F.sum("n").over(W.partitionBy("s", "_b").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")), "mix-counts")
+    base = counts.groupBy("s", "_b").agg(F.sum("n").alias("_n"))
+    base = base.select("s", "_b", (F.sum("_n").over(W.partitionBy("s").orderBy("_b")) - F.col("_n")).alias("_base"))
+    return drawn, counts.join(base, ["s", "_b"]).select("shard", "s", "n", (F.col("_base") + F.col("_at")).alias("first"))
+
+
 def slots(src: DataFrame, seed: int = 0) -> DataFrame:
     """s, block, pass, n_take and the place (shard, slot) of each take of a block."""
-    chunks = src.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk")).repartition(C.partitions(src.sparkSession), "s", "chunk")
-    j = F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1))
-    out = chunks.select("*", j.alias("j")).withColumn("pass", F.floor(F.col("j") / F.col("blocks"))).withColumn("i", F.col("j") % F.col("blocks"))
+    few = src.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    drawn, counts = shard_counts(src, seed)
+    got = src.join(counts.groupBy("s").agg(F.sum("n").alias("_got")), "s", "left").select("s", "slots", F.coalesce("_got", F.lit(0)).alias("_got"))
+    over, under = F.greatest(F.col("_got") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("_got"), F.lit(0))
+    before = lambda c: F.sum(c).over(W.orderBy("s")) - c  # noqa: E731  (a row for each source)
+    got = C.written(got.select("s", "slots", "_got", before(over).alias("_over"), before(under).alias("lo"), (before(under) + under).alias("hi")), "mix-drawn")
+    moved = got.agg(F.max("hi")).first()[0] or 0
+    own = drawn.withColumn("_k", F.row_number().over(W.partitionBy("shard", "s").orderBy("slot")) - 1).join(counts.drop("n"), ["shard", "s"])
+    small = got.select("s", "slots", "_over")
+    own = own.join(F.broadcast(small) if few else small, "s").withColumn("j", F.col("first") + F.col("_k"))
+    place = ["shard", "slot"]
+    kept = own.where("j < slots").select(*place, "s", "j")
+    # The number of a slot that changes hands, among all such, is its place in the ranges of what is missing.
+    given = own.where("j >= slots").select(*place, (F.col("_over") + F.col("j") - F.col("slots")).alias("_r"))
+    taken = located(given, F.col("_r"), got.select("s", "_got", "lo", "hi", F.col("lo").alias("_lo")), moved, few)
+    out = kept.unionByName(taken.select(*place, "s", (F.col("_got") + F.col("_x") - F.col("_lo")).alias("j")))
+    known = src.select("s", "slots", "blocks", "full_blocks", "rest")
+    out = out.join(F.broadcast(known) if few else known, "s")
+    out = out.withColumn("pass", F.floor(F.col("j") / F.col("blocks"))).withColumn("i", F.col("j") % F.col("blocks"))
     block = F.when(F.col("i") < F.col("full_blocks"), permuted(F.col("i"), F.col("full_blocks"), F.col("s"), F.col("pass"), seed=seed)).otherwise(F.col("i"))
-    place = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), -1, seed=seed)
     last = (F.col("j") == F.col("slots") - 1) & (F.col("rest") % BLOCK > 0)
-    return out.select("s", block.alias("block"), "pass", F.when(last, F.col("rest") % BLOCK).otherwise(BLOCK).alias("n_take"), place.alias("_k")).select(
-        "s", "block", "pass", "n_take", F.floor(F.col("_k") / SHARD_SLOTS).alias("shard"), (F.col("_k") % SHARD_SLOTS).alias("slot"))
+    return out.select("s", block.alias("block"), "pass", F.when(last, F.col("rest") % BLOCK).otherwise(BLOCK).alias("n_take"), "shard", "slot")
 
 
 def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -107,11 +155,6 @@ def mix(index: DataFrame, src: DataFrame, seed: int = 0) -> DataFrame:
     return out.where("n_words > 0").select("shard", "slot", (F.col("_from") - first).alias("place"), "doc_id", "s", "start", *row, "pass", (F.col("_from") - F.col("start")).alias("from_word"), "n_words")
 
 
-def shard_counts(src: DataFrame, seed: int = 0) -> DataFrame:
-    """The draw itself: slots of each source in each output shard."""
-    return slots(src, seed).groupBy("shard", "s").agg(F.count(F.lit(1)).alias("n_slots"))
-
-
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents of the mix, with docs' own columns: a row for each pass that takes words of a document, with those
     words as its text (the text unchanged, where all are taken). Rows are named by a written row id, so those that share a
@@ -127,8 +170,13 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     return out.select([new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
-def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    index, src = indexed(C.table(spark, sf_dir, "documents"))
+def takes(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken: a row for each row of docs."""
+    index, src = indexed(docs)
     taken = mix(index, src).groupBy("s", "start").agg(F.sum("n_words").alias("_taken"))
     out = index.withColumn("_key", F.when(F.col("size") > 0, F.col("start"))).join(taken.withColumnRenamed("start", "_key"), ["s", "_key"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def op2_mixing(spark, sf_dir: str) -> DataFrame:
+    return C.settled(lambda: takes(C.table(spark, sf_dir, "documents")), "op2")
