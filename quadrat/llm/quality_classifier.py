@@ -6,8 +6,8 @@ mean evidence of their documents, shrunk toward the level above (path to host, h
 sparse sites stay near the prior. A document's posterior log odds are its own evidence plus its path's shift against
 the base rate. All of it is grouped aggregation with map-side sums: a hot host is a row a task.
 
-The model is fitted on the driver to at most ``SAMPLE`` labelled rows (those with the least hash of their id); every
-other number covers all rows. Features and scores are JVM expressions.
+The model is fitted on the driver to at most ``SAMPLE`` labelled ids (those with about the least hashes; of rows that share
+one, the least measurements count); every other number covers all rows. Features and scores are JVM expressions.
 
 Defined results: null texts measure as empty; null hosts and paths are sites of their own; without labels of both
 classes every document's own evidence is 1/2; rows that repeat count each for itself; an empty table gives no rows;
@@ -16,6 +16,7 @@ very long texts are measured whole; other columns are passed over by ``classify`
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,8 +83,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def trained(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """measured: id, x. labels: doc_id, quality."""
-    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y"))
-    rows = measured.join(known, "id").select("x", "y", "id").orderBy(F.xxhash64("id"), "id", "y").limit(sample).select("x", "y").toPandas()
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").cast("double").alias("y"))
+    n = known.count()
+    # Drawn by hash before any join: no partition holds much more than its share, and the limit only cuts what chance adds.
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    drawn = known.where(place < math.ceil((1 << 40) * min(1.0, 0.95 * sample / max(1, n)))) if n > sample else known
+    drawn = C.written(drawn.orderBy(place, "id").limit(sample), "quality-labels")
+    rows = measured.join(F.broadcast(drawn), "id").groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y"))
+    rows = C.written(rows, "quality-sample").toPandas().sort_values("id")
     return fit(np.array(rows.x.tolist(), float).reshape(-1, len(FEATURES)), rows.y.to_numpy(float))
 
 
@@ -111,9 +118,9 @@ def posteriors(evidence: DataFrame) -> DataFrame:
     return own.select("host", "path", "n", "host_quality", ((F.col("total") + k * F.col("host_quality")) / (F.col("n") + k)).alias("path_quality"))
 
 
-def _evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str, text_col: str) -> tuple[DataFrame, Model, DataFrame]:
+def _evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str, text_col: str, *more: Column) -> tuple[DataFrame, Model, DataFrame]:
     """(measured documents, the model, the sites' posteriors)."""
-    measured = C.written(docs.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), features(F.col(text_col)).alias("x")), "quality-features")
+    measured = C.written(docs.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), features(F.col(text_col)).alias("x"), *more), "quality-features")
     model = trained(measured, labels)
     sites = C.written(posteriors(measured.select("host", "path", _sigmoid(model.log_odds(F.col("x"))).alias("p"))), "quality-sites")
     few = sites.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
@@ -140,12 +147,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
 
 
 def accepted(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier keeps, with their own columns. Texts are measured again rather than shuffled."""
-    _, model, sites = _evidence(docs, labels, host, path, id_col, text_col)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), host.alias("host"), path.alias("path"), features(F.col(text_col)).alias("x"))
-    return _judged(rows, model, sites, F.col("x"), threshold).where("q.kept").select("row.*")
+    """The rows of docs that the classifier keeps, with their own columns, which go along with their measurements."""
+    measured, model, sites = _evidence(docs, labels, host, path, id_col, text_col, F.struct(*docs.columns).alias("row"))
+    return _judged(measured, model, sites, F.col("x"), threshold).where("q.kept").select("row.*")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Hosts are the sources, and a source's languages its paths."""
-    return classify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return C.settled(lambda: classify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"), F.col("source"), F.col("lang")), "op10")
