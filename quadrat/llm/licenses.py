@@ -14,6 +14,8 @@ rows; texts of any length are scanned whole; other columns are passed over.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from quadrat.llm import common as C
 MAX_BROADCAST = 100_000
 
 #: Sentences of public licence notices. Rules are (license, rule, sentences in order).
-RULES = (
+TEXTS = (
     ("MIT", "mit-notice", ("Released under the MIT License.",)),
     ("MIT", "mit-notice-2", ("Licensed under the MIT License.",)),
     ("Apache-2.0", "apache-notice", ("Licensed under the Apache License, Version 2.0.",)),
@@ -50,8 +52,116 @@ RULES = (
         ),
     ),
     ("MIT", "mit-notice-reserved", ("Released under the MIT License.", "All rights reserved.")),
+    ("BSD-2-Clause", "bsd-2-text", ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.")),
+    ("BSD-3-Clause", "bsd-3-text", ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")),
+    ("BSD-2-Clause", "bsd-2-text-numbered", ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.")),
+    ("BSD-3-Clause", "bsd-3-text-numbered", ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "3.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")),
+    (
+        "ISC",
+        "isc-text",
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    ),
+    ("0BSD", "0bsd-text", ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",)),
+    (
+        "Unlicense",
+        "unlicense-text",
+        (
+            "This is free and unencumbered software released into the public domain.",
+            "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        ),
+    ),
+    (
+        "Zlib",
+        "zlib-text",
+        (
+            "This software is provided 'as-is', without any express or implied warranty.",
+            "In no event will the authors be held liable for any damages arising from the use of this software.",
+            "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        ),
+    ),
+    ("BSL-1.0", "boost-header", ("Distributed under the Boost Software License, Version 1.0.",)),
+    (
+        "MPL-2.0",
+        "mpl2-header",
+        (
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+            "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        ),
+    ),
+    *(
+        (
+            f"{spdx}-or-later",
+            f"{spdx.lower()}-header",
+            (
+                f"{it} is free software{mark} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{semi} either version {version} of the License, or (at your option) any later version.",
+                f"{it} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+            ),
+        )
+        for spdx, it, name, version, mark, semi in (
+            ("GPL-2.0", "This program", "GNU General Public License", "2", ";", ";"),
+            ("GPL-3.0", "This program", "GNU General Public License", "3", ":", ","),
+            ("AGPL-3.0", "This program", "GNU Affero General Public License", "3", ":", ","),
+            ("LGPL-2.1", "This library", "GNU Lesser General Public License", "2.1", ";", ";"),
+            ("LGPL-3.0", "This library", "GNU Lesser General Public License", "3", ":", ","),
+        )
+    ),
 )
 
+#: Names that notices give to licences.
+NAMES = (
+    ("MIT", "the MIT License"),
+    ("MIT", "the MIT license"),
+    ("Apache-2.0", "the Apache License, Version 2.0"),
+    ("Apache-2.0", "the Apache License 2.0"),
+    ("Apache-2.0", "the Apache 2.0 License"),
+    ("BSD-2-Clause", "the BSD 2-Clause License"),
+    ("BSD-3-Clause", "the BSD 3-Clause License"),
+    ("BSD-3-Clause", "the 3-Clause BSD License"),
+    ("ISC", "the ISC License"),
+    ("Zlib", "the zlib License"),
+    ("Unlicense", "the Unlicense"),
+    ("BSL-1.0", "the Boost Software License, Version 1.0"),
+    ("MPL-2.0", "the Mozilla Public License 2.0"),
+    ("MPL-2.0", "the Mozilla Public License, version 2.0"),
+    ("EPL-2.0", "the Eclipse Public License 2.0"),
+    ("GPL-2.0", "the GNU General Public License, version 2"),
+    ("GPL-2.0", "the GNU General Public License v2.0"),
+    ("GPL-3.0", "the GNU General Public License, version 3"),
+    ("GPL-3.0", "the GNU General Public License v3.0"),
+    ("LGPL-2.1", "the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "the GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "the GNU Affero General Public License, version 3"),
+    ("CC0-1.0", "CC0 1.0"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-4.0", "a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"),
+)
+#: How notices begin.
+NOTICES = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This software is licensed under", "This project is licensed under", "This content is licensed under")
+
+
+def rules() -> tuple[tuple[str, str, tuple[str, ...]], ...]:
+    """TEXTS, a notice of each kind for each name, and the identifier line of each licence; no sentence twice. Sentences are cut as texts are."""
+    cut = lambda said: tuple(x for y in said for x in re.split(r"(?<=[.!?;:])\s+", y))
+    out, key = [(a, b, cut(c)) for a, b, c in TEXTS], lambda said: tuple(re.sub(r"[\W_]+", " ", x.lower()).strip() for x in said)
+    known = {key(said) for _, _, said in out}
+    every = [(spdx, f"{start} {name}.") for spdx, name in NAMES for start in NOTICES]
+    for spdx, said in [*((a, (b,)) for a, b in every), *((a, ("SPDX-License-Identifier:", a)) for a in dict.fromkeys(x for x, *_ in (*NAMES, *TEXTS)) if a != "proprietary")]:
+        if key(said) not in known:
+            known.add(key(said))
+            said = cut(said)
+            out.append((spdx, "spdx-line" if len(said) > 1 else "-".join(key(said)[0].split()), said))
+    return tuple((a, b if b != "spdx-line" else f"spdx-{a.lower()}", c) for a, b, c in out)
+
+
+RULES = rules()
+
 
 def pieces(text: Column) -> Column:
     """Texts cut at line ends and after . ! ? ; : before a blank, normalised, without empty ones. Each piece ends in "|", or in
