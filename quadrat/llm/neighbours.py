@@ -1,14 +1,21 @@
 """Approximate nearest neighbours by learned partitions.
 
-A sample of vectors (``SAMPLE`` at most, those with the least hash of their id) gets its neighbour graph, which is cut into ``PARTS``
+A sample of vectors (``SAMPLE`` at most, those with about the least hashes) gets its neighbour graph, which is cut into
 balanced partitions: recursive halving gives equal parts, and rounds of swaps then move vectors to the parts of most of
 their neighbours, one against one, so that parts stay equal. A small network learns where a vector's neighbours lie.
 It places every vector of the table in its most probable partition and sends each query to the ``probes`` most probable
 ones, as many as held-out sample queries need for a recall of ``RECALL``; there all vectors are reranked exactly.
 
-Only the sample reaches the driver. Vectors that are equal are one entry of the index with their least TOP + 1 ids, which
-is all that an answer of TOP can use. Partitions are searched in blocks of at most about ``BLOCK`` entries and ``BLOCK`` queries; a
-query that finds fewer than TOP goes through all partitions in a second pass.
+Partitions grow in number with the table: one for about ``LEAF`` entries, ``PARTS`` at least and ``FAN`` at most. A
+partition that still holds more than ``SPLIT`` entries is learned and cut in the same way by itself, from a sample of its
+own entries, in a task for each; a query then takes the most probable partitions within each of its partitions. Where
+the table is so large that all partitions are cut again, either level's probes are chosen for the root of the recall. So
+a query's work follows its probes and LEAF until FAN * FAN partitions (65,536) hold more than LEAF each.
+
+Only the sample, the networks (FAN of some 100 KB each) and counts reach the driver. Vectors that are equal are one
+entry of the index with their least TOP + 1 ids, which is all that an answer of TOP can use. Partitions are searched in
+blocks of at most about ``BLOCK`` entries and ``BLOCK`` queries; a query that finds fewer than TOP goes through all
+partitions in a second pass.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part, nor do rows without an id; of rows that repeat an id, the one with the least vector counts; ties go to the
@@ -17,6 +24,8 @@ smaller id; an empty table gives no rows; other columns are passed over.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +35,7 @@ from pyspark.sql import functions as F
 from quadrat.llm import common as C
 
 SAMPLE, PARTS, TOP, RECALL, BLOCK = 8192, 32, 20, 0.96, 16_384
+LEAF, FAN, SPLIT = 4096, 256, 16_384
 GRAPH, HIDDEN, EPOCHS, ROUNDS = 10, 64, 20, 12
 PER_PART = 16
 
@@ -183,33 +193,78 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("x").alias("x"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, parts: int = PARTS, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
+def _parts(entries: int, parts: int, leaf: int) -> int:
+    """A power of two: a partition for about leaf entries."""
+    return min(FAN, max(parts, 1 << (max(1, -(-entries // leaf)) - 1).bit_length()))
+
+
+def _sampled(index: DataFrame, share: Column) -> DataFrame:
+    """About that share of index, by the hash of the vector."""
+    return index.where(F.pmod(F.xxhash64(F.lit(11), "x"), F.lit(1 << 40)) < share * float(1 << 40))
+
+
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, parts: int = PARTS, recall: float = RECALL, sample: int = SAMPLE, leaf: int = LEAF, split: int = SPLIT) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: over vec_id."""
     spark = vectors.sparkSession
     rows = C.written(usable(vectors, id_col, vector_col), "neighbour-vectors")
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("x").dropDuplicates(["x"]).collect()
-    if not drawn:
+    # Equal vectors: their least ids. The window's limit is applied before the shuffle too.
+    least = rows.withColumn("_k", F.row_number().over(W.partitionBy("x").orderBy("vec_id"))).where(F.col("_k") <= top + 1)
+    index = C.written(least.groupBy("x").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "neighbour-entries")
+    entries = index.count()
+    if not entries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router, scale, probes = learned(np.array(sorted(r.x for r in drawn), np.float64), parts, top, recall)
-    count = len(router.w[3])
+    drawn = C.written(_sampled(index, F.lit(sample / entries)).select("x").orderBy(F.xxhash64("x"), "x").limit(sample), "neighbour-sample").collect() if entries > sample else index.select("x").collect()
+    aim = recall**0.5 if entries > split * _parts(entries, parts, leaf) // 2 else recall  # a second level
+    router, scale, probes = learned(np.array(sorted(r.x for r in drawn), np.float64), _parts(entries, parts, leaf), top, aim)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def route(x: pd.Series, most: pd.Series) -> pd.Series:
         s = router.scores(np.array(x.tolist(), np.float64) / scale)
-        return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, : int(most.iloc[0])].astype(np.int32))) if len(x) else pd.Series([], dtype=object)
-
-    # Equal vectors: their least ids. The window's limit is applied before the shuffle too.
-    least = rows.withColumn("_k", F.row_number().over(W.partitionBy("x").orderBy("vec_id"))).where(F.col("_k") <= top + 1)
-    index = least.groupBy("x").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("part", route("x", F.lit(1))[0])
-    index = C.written(index, "neighbour-index")
+        return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, : int(most.iloc[0])])) if len(x) else pd.Series([], dtype=object)
+
+    index = C.written(index.withColumn("part", route("x", F.lit(1))[0]), "neighbour-index")
+    sizes = {r.part: r.n for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    within = _refined(index, {p: n for p, n in sizes.items() if n > split}, top, aim, sample, leaf)
+
+    @F.pandas_udf("array<long>")
+    def leaves(x: pd.Series, part: pd.Series, probe: pd.Series) -> pd.Series:
+        """part * FAN and the partitions within it: the best one, or as many as are to be searched; or every one (probe 2)."""
+        out = pd.Series([[p * FAN] for p in part], dtype=object)
+        for p, own in part.groupby(part):
+            if p in within:
+                inner, by, most = within[p]
+                s = inner.scores(np.array(x[own.index].tolist(), np.float64) / by)
+                most = (1, most, s.shape[1])[int(probe.iloc[0])]
+                for i, row in zip(own.index, np.argsort(-s, axis=1, kind="stable")[:, :most]):
+                    out[i] = [p * FAN + int(k) for k in row]
+        return out
+
+    lead = lambda df, probe: df.withColumn("part", F.explode(leaves("x", "part", F.lit(probe)))) if within else df.withColumn("part", F.col("part") * FAN)
+    index = C.written(lead(index, 0), "neighbour-placed") if within else lead(index, 0)
     asked = C.written(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "x"), "neighbour-queries")
-    found = C.written(searched(index, asked.withColumn("part", F.explode(route("x", F.lit(probes)))), top), "neighbour-found")
-    if probes == count:
+    found = C.written(searched(index, lead(asked.withColumn("part", F.explode(route("x", F.lit(probes)))), 1), top), "neighbour-found")
+    if probes == len(router.w[3]) and not within:
         return found
     short = asked.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")), "query_id", "left").where(F.coalesce("_n", F.lit(0)) < top).select("query_id", "x")
-    again = C.written(searched(index, short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))), top), "neighbour-again")
+    again = C.written(searched(index, lead(short.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(router.w[3]) - 1).cast("long")))), 2), top), "neighbour-again")
     return found.join(short.select("query_id"), "query_id", "left_anti").unionAll(again)
 
 
+def _refined(index: DataFrame, sizes: dict[int, int], top: int, recall: float, sample: int, leaf: int) -> dict[int, tuple[Router, np.ndarray, int]]:
+    """What is learned within each of these partitions (sizes: their entries), a task for each: router, scale, probes."""
+    if not sizes:
+        return {}
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        part = int(rows["part"].iloc[0])
+        router, scale, probes = learned(np.array(sorted(map(list, rows["x"]))[:sample], np.float64), _parts(sizes[part], 2, leaf), top, recall)
+        router.w = [w.astype(np.float32) for w in router.w]
+        return pd.DataFrame({"part": [part], "model": [pickle.dumps((router, scale, probes))]})
+
+    shares = F.create_map(*[F.lit(v) for p, n in sizes.items() for v in (p, min(1.0, sample / n))])
+    drawn = _sampled(index.where(F.col("part").isin(list(sizes))), shares[F.col("part")])
+    return {r.part: pickle.loads(r.model) for r in C.written(drawn.groupBy("part").applyInPandas(fit, "part long, model binary"), "neighbour-routers").collect()}
+
+
 def op3_neighbours(spark, sf_dir: str) -> DataFrame:
-    return nearest(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return C.settled(lambda: nearest(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0), "op3")
