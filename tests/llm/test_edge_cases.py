@@ -640,5 +640,25 @@ def test_neighbours(spark):
         hits += len({f[1] for f in found} & {k for _, k in want})
     assert hits >= 0.9 * 20 * len(got)
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    deep = Counter()  # partitions within partitions
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, parts=2, leaf=16, split=20, sample=200).collect():
+        deep[r.query_id] += r.vec_id in [f[1] for f in got[r.query_id]]
+    assert sorted(deep) == sorted(got) and sum(deep.values()) >= 0.8 * 20 * len(got)
     few = neighbours.nearest(df.where("vec_id < 7"), F.col("vec_id") % 20 == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4, 5, 6]
+
+
+def test_recall_on_the_registered_table(spark):
+    """All vectors and queries of the table, against brute force."""
+    got = neighbours.op3_neighbours(spark, "/root/testdata/sf0.01").toPandas()
+    t = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").toPandas()
+    ids, x = t.vec_id.to_numpy(), np.array(t.embedding.tolist(), np.float64)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = np.lexsort((ids, -score))[: min(20, len(ids) - 1)]
+        own = got[got.query_id == ids[q]].sort_values("rank")
+        assert len(own) == len(best) and np.allclose(own.score, x[np.searchsorted(ids, own.vec_id)] @ x[q], atol=1e-12)
+        hits, total = hits + len(set(own.vec_id) & set(ids[best])), total + len(best)
+    assert hits >= 0.9 * total
