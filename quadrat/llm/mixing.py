@@ -109,7 +109,8 @@ def slots(src: DataFrame, seed: int = 0) -> DataFrame:
     before = lambda c: F.sum(c).over(W.orderBy("s")) - c  # noqa: E731  (a row for each source)
     got = C.written(got.select("s", "slots", "_got", before(over).alias("_over"), before(under).alias("lo"), (before(under) + under).alias("hi")), "mix-drawn")
     moved = got.agg(F.max("hi")).first()[0] or 0
-    own = drawn.withColumn("_k", F.row_number().over(W.partitionBy("shard", "s").orderBy("slot")) - 1).join(counts.drop("n"), ["shard", "s"])
+    # Both grow with the input, so neither is broadcast; the window has dealt the slots by the same keys.
+    own = drawn.withColumn("_k", F.row_number().over(W.partitionBy("shard", "s").orderBy("slot")) - 1).hint("merge").join(counts.drop("n"), ["shard", "s"])
     small = got.select("s", "slots", "_over")
     own = own.join(F.broadcast(small) if few else small, "s").withColumn("j", F.col("first") + F.col("_k"))
     place = ["shard", "slot"]
