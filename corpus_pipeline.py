@@ -50,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's own tables go when its result is written, and that when the next one's is."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, common.settled(lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")  # noqa: B023  (called at once)
+        if k:
+            common.discard(before)
+    return docs
