@@ -175,3 +175,112 @@ def weighted_variance(df: DataFrame, keys: Sequence[str], value: str, weight: st
     out = df.groupBy(*keys).agg(F.sum(w).alias("_w"), F.sum(w * v).alias("_s"), F.sum(w * v * v).alias("_q"))
     m = F.col("_s") / F.col("_w")
     return out.select(*keys, m.alias("mean"), (F.col("_q") / F.col("_w") - m * m).alias("variance"))
+
+
+def scalar_form(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """keys and the scalar properties among names (arrays are left out)."""
+    return df.select(*keys, *[n for n in names if not df.schema[n].dataType.simpleString().startswith("array")])
+
+
+def relabelled(df: DataFrame, id_col: str, shift: int = 0, mapping: DataFrame | None = None) -> DataFrame:
+    """Ids shifted, or taken from a (id, new_id) table; ids that it lacks are left out. 0 is background and stays."""
+    if mapping is None:
+        return df.withColumn(id_col, F.when(F.col(id_col) == 0, F.col(id_col)).otherwise(F.col(id_col) + shift))
+    return df.join(mapping.select(F.col("id").alias(id_col), "new_id"), id_col).withColumn(id_col, F.col("new_id")).drop("new_id")
+
+
+#: Units: which properties of a domain are lengths (1), areas (2) or volumes (3).
+POWERS = {"length": 1, "distance": 1, "radius": 1, "mean_distance": 1, "surface": 2, "area": 2, "volume": 3}
+
+
+def in_nm(df: DataFrame, pixel: Column, powers: Mapping[str, int] = POWERS) -> DataFrame:
+    """df with <name>_nm (and, by its power, _nm2 or _nm3 in value) for each property of a domain that has a unit."""
+    for name in [c for c in df.columns if c in powers]:
+        df = converted(df.withColumn(f"{name}_nm", F.col(name)), f"{name}_nm", pixel, powers[name])
+    return df
+
+
+def derived(df: DataFrame, radius: str | None = None, surface: str | None = None, volume: str | None = None, length: str | None = None) -> DataFrame:
+    """df with sphere_surface and sphere_volume of a radius, surface_to_volume, and cross_section (volume over length)."""
+    turn = 4 * 3.141592653589793
+    out = {}
+    if radius:
+        r = F.col(radius)
+        out |= {"sphere_surface": turn * r * r, "sphere_volume": turn / 3 * r * r * r}
+    if surface and volume:
+        out["surface_to_volume"] = F.col(surface) / F.nullif(F.col(volume), F.lit(0.0))
+    if volume and length:
+        out["cross_section"] = F.col(volume) / F.nullif(F.col(length), F.lit(0.0))
+    return df.withColumns(out)
+
+
+def split_by_position(df: DataFrame, keys: Sequence[str], arrays: Sequence[str]) -> DataFrame:
+    """A table for each array position: rows of long_form under ``pos``."""
+    return long_form(df, keys, arrays)
+
+
+def add_experiment(df: DataFrame, experiment: DataFrame) -> DataFrame:
+    """df and another experiment's rows; properties that one of them lacks are null."""
+    return df.unionByName(experiment, allowMissingColumns=True)
+
+
+def merged_features(old: DataFrame, new: DataFrame, ids: str, names: Sequence[str], mode: str = "replace", totals: str = "add") -> DataFrame:
+    """Feature tables as one. mode: replace (new values where there are some) or add (sums). Row 0 holds totals: replace, or add them up."""
+    a, b = old.select(ids, *names), new.select(ids, *[F.col(n).alias(f"_{n}") for n in names])
+    both = a.join(b, ids, "full")
+    add = lambda n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_{n}"), F.lit(0))
+    swap = lambda n: F.coalesce(F.col(f"_{n}"), F.col(n))
+    pick = {"add": add, "replace": swap}
+    return both.select(ids, *[F.when(F.col(ids) == 0, pick[totals](n)).otherwise(pick[mode](n)).alias(n) for n in names])
+
+
+def extreme_per_cluster(items: DataFrame, cluster: str, distance: str, id_col: str, mode: str = "min") -> DataFrame:
+    """cluster, id, distance of each cluster's nearest (or farthest) item; ties to the smaller id."""
+    sign = 1 if mode == "min" else -1
+    return items.groupBy(cluster).agg(F.min(F.struct((sign * F.col(distance)).alias("d"), F.col(id_col).alias("id"))).alias("_m")).select(cluster, F.col("_m.id").alias(id_col), (sign * F.col("_m.d")).alias(distance))
+
+
+def order_by_values(df: DataFrame, id_col: str, value: str) -> DataFrame:
+    """id, place: segments in falling order of a value, from 1; ties by id."""
+    from quadrat.operators.tables import numbered
+
+    return numbered(df.select(id_col, value), F.col(value).desc(), F.col(id_col), to="_k").select(id_col, (F.col("_k") + 1).alias("place"))
+
+
+def applied(df: DataFrame, name: str, f, to: str) -> DataFrame:
+    """A function of a property, scalar or indexed: f is a column expression of one value."""
+    indexed = df.schema[name].dataType.simpleString().startswith("array")
+    return df.withColumn(to, F.transform(name, f) if indexed else f(F.col(name)))
+
+
+#: Aggregates by name; more may be added.
+AGGREGATES: dict[str, object] = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, 0.5), "std": F.stddev_samp, "n": F.count}
+
+
+def aggregated(df: DataFrame, keys: Sequence[str], value: str, *names: str) -> DataFrame:
+    """keys and an aggregate for each name, from AGGREGATES."""
+    return df.groupBy(*keys).agg(*[AGGREGATES[n](value).alias(n) for n in names])
+
+
+def p_value(sims: DataFrame, observed: DataFrame, keys: Sequence[str], slope: str = "high") -> DataFrame:
+    """keys, p: the share of simulations that an observed value reaches from above (high: value >= sim) or from below (low)."""
+    both = sims.join(observed.withColumnRenamed("value", "_v"), list(keys))
+    hit = F.col("_v") >= F.col("value") if slope == "high" else F.col("_v") <= F.col("value")
+    return both.groupBy(*keys).agg(F.avg(hit.cast("double")).alias("p"))
+
+
+def dose(series: DataFrame, keys: Sequence[str], counts: str, seconds: str, pixel: Column) -> DataFrame:
+    """keys, n_projections, dose (counts over the area of a pixel, summed over the series), per_projection, rate (by second)."""
+    d = F.col(counts) / (pixel * pixel)
+    out = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_projections"), F.sum(d).alias("dose"), F.sum(seconds).alias("_s"))
+    return out.select(*keys, "n_projections", "dose", (F.col("dose") / F.col("n_projections")).alias("per_projection"), (F.col("dose") / F.nullif(F.col("_s"), F.lit(0.0))).alias("rate"))
+
+
+def experiments(experiments: Mapping[str, Mapping[str, DataFrame]], columns: Sequence[str]) -> DataFrame:
+    """group, identifier and the columns of many experiments' tables, as one; columns that a table lacks are null."""
+    out = None
+    for group, by_id in experiments.items():
+        for identifier, df in by_id.items():
+            own = df.select([c for c in columns if c in df.columns]).withColumns({"group": F.lit(group), "identifier": F.lit(identifier)})
+            out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out.select("group", "identifier", *[F.col(c) if c in out.columns else F.lit(None).alias(c) for c in columns])

@@ -211,3 +211,99 @@ def bins(column: Column, edges: Sequence[float]) -> Column:
     for k in range(last, -1, -1):
         out = out.when((column >= edges[k]) & (column < edges[k + 1]), F.lit(k))
     return out
+
+
+# Cells, columns and rows by number
+
+
+def add_list(df: DataFrame, name: str, values: DataFrame, key: str = "row_id") -> DataFrame:
+    """df with a column from (key, name) rows, one for each of its rows; raises if the numbers differ."""
+    if df.count() != values.count():
+        raise ValueError("the list's length is not that of the table")
+    return df.drop(name).join(values.select(key, name), key)
+
+
+def replaced(df: DataFrame, name: str, values: DataFrame, key: str = "row_id") -> DataFrame:
+    """df with a column's data taken from (key, name) rows; rows without one keep theirs."""
+    return df.join(values.select(key, F.col(name).alias("_new"), F.lit(True).alias("_has")), key, "left").withColumn(name, F.when(F.col("_has"), F.col("_new")).otherwise(F.col(name))).drop("_new", "_has")
+
+
+def dropped(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*names)
+
+
+ARITHMETIC = {"add": "__add__", "sub": "__sub__", "mul": "__mul__", "div": "__truediv__"}
+
+
+def with_constant(df: DataFrame, name: str, op: str, value) -> DataFrame:
+    """A property and a constant; arrays element by element, with one constant or a list of them."""
+    f = ARITHMETIC[op]
+    if not df.schema[name].dataType.simpleString().startswith("array"):
+        return df.withColumn(name, getattr(F.col(name), f)(value))
+    if isinstance(value, (list, tuple)):
+        return df.withColumn(name, F.zip_with(name, F.array(*[F.lit(v) for v in value]), lambda a, b: getattr(a, f)(b)))
+    return df.withColumn(name, F.transform(name, lambda a: getattr(a, f)(value)))
+
+
+def set_cell(df: DataFrame, name: str, row, value, key: str = "row_id") -> DataFrame:
+    return df.withColumn(name, F.when(F.col(key) == row, F.lit(value)).otherwise(F.col(name)))
+
+
+def vector_between(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
+    """to: the vector from array property a to b."""
+    return df.withColumn(to, F.zip_with(b, a, lambda x, y: x - y))
+
+
+def sorted_by(df: DataFrame, column: str, ascending: bool = True, key: str = "row_id") -> DataFrame:
+    """df with its place in the order (from 0, ties by key) as ``place``."""
+    return numbered(df, F.col(column).asc() if ascending else F.col(column).desc(), key, to="place")
+
+
+def sorted_by_other(df: DataFrame, other: DataFrame, key: str, column: str, reverse: bool = False) -> DataFrame:
+    """df in the order of another table's column, by key; rows without one are left out."""
+    return sorted_by(df.join(other.select(key, column), key), column, not reverse, key)
+
+
+def in_bounds(points: DataFrame, low: Sequence[float], high: Sequence[float], axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Points within a closed box."""
+    return points.where(reduce(Column.__and__, [F.col(c).between(a, b) for c, a, b in zip(axes, low, high)]))
+
+
+def overlapping_boxes(left: DataFrame, right: DataFrame, keys: Sequence[str], size: float, axes: Sequence[str] = ("x", "y", "z"), id_col: str = "id") -> DataFrame:
+    """keys, a, b: boxes (columns lo_x, hi_x, ...) that share a point. size: the side of the cells they are dealt over; a pair counts in the first cell of its overlap."""
+    cell = lambda c: F.floor(c / size).cast("long")
+    box = [f"{m}_{c}" for c in axes for m in ("lo", "hi")]
+
+    def dealt(df: DataFrame, name: str) -> DataFrame:
+        out = df.select(*keys, F.col(id_col).alias(name), F.struct(*box).alias(f"_{name}"))
+        for c in axes:
+            out = out.withColumn(f"_c{c}", F.explode(F.sequence(cell(F.col(f"_{name}.lo_{c}")), cell(F.col(f"_{name}.hi_{c}")))))
+        return out
+
+    out = dealt(left, "a").join(dealt(right, "b"), [*keys, *[f"_c{c}" for c in axes]])
+    for c in axes:
+        first = F.greatest(f"_a.lo_{c}", f"_b.lo_{c}")
+        out = out.where((first <= F.least(f"_a.hi_{c}", f"_b.hi_{c}")) & (cell(first) == F.col(f"_c{c}")))
+    return out.select(*keys, "a", "b")
+
+
+def distinct_keys(key: str, *dfs: DataFrame) -> DataFrame:
+    """The keys of any of the tables, once each."""
+    return reduce(DataFrame.unionAll, [df.select(key) for df in dfs]).distinct()
+
+
+def with_segmentation(particles: DataFrame, segmentations: DataFrame, key: str = "micrograph") -> DataFrame:
+    """Particles with their micrograph's segmentation; those without one are left out."""
+    return particles.join(segmentations, key)
+
+
+def reference_and_target(points: DataFrame, reference, target) -> DataFrame:
+    """tomo_id, n_reference, n_target of the tomograms that hold both lists."""
+    own = points.groupBy("tomo_id").agg(F.count_if(F.col("list_id") == reference).alias("n_reference"), F.count_if(F.col("list_id") == target).alias("n_target"))
+    return own.where("n_reference > 0 AND n_target > 0")
+
+
+def shown(df: DataFrame, names: Sequence[str], digits: int = 3) -> DataFrame:
+    """line: each row's columns as a line of text, for reports."""
+    kinds = dict(df.dtypes)
+    return df.select(F.concat_ws("\t", *[F.format_string(f"%.{digits}f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string") for c in names]).alias("line"))

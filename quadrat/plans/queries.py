@@ -351,11 +351,6 @@ def obs_pool_categories(spark, d):
     return rounded(q.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")), 4)
 
 
-@query(f"WITH {O} SELECT identifier AS grp, grp AS identifier, count(*) AS n FROM o GROUP BY ALL")
-def obs_transpose(spark, d):
-    return tables.counts(observations.regrouped(customers(spark, d).withColumn("_g", F.col("grp")), "grp", "identifier").withColumn("identifier", F.col("_g")), "grp", "identifier")
-
-
 @query(f"WITH {O} SELECT identifier AS grp, count(*) AS n FROM o GROUP BY ALL")
 def obs_regroup(spark, d):
     return tables.counts(observations.regrouped(customers(spark, d), "grp", "identifier"), "grp")
@@ -1104,3 +1099,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     pv = points.p_values(real, null, ["tomo_id", "r"]).select("tomo_id", "r", "p_ge")
     nn = points.nn_statistics(_nn(spark, d), KEYS).select(ids.alias("tomo_id"), "mean_nnd")
     return real.withColumnRenamed("value", "l").join(pv, ["tomo_id", "r"]).join(nn, "tomo_id").select(F.floor(F.col("tomo_id") / 8).alias("list_id"), (F.col("tomo_id") % 8).alias("tomo_id"), "r", "mean_nnd", "l", "p_ge")
+
+
+# Further queries register themselves with the names above.
+from quadrat.plans import table_queries  # noqa: E402, F401
