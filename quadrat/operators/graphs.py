@@ -93,6 +93,24 @@ def bounded_distances(edges: DataFrame, sources: DataFrame, limit: float, strict
         discard(last)
 
 
+@settling
+def path_minima(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+    """source, vid, dist, least: the least edge on the shortest path (the greatest such, if there are many) to each vertex at most limit away.
+
+    Rounds as in bounded_distances, over (length, -least) in this order.
+    """
+    e = written(both_ways(edges).where(F.col("length") <= limit).groupBy("src", "dst").agg(F.min("length").alias("length")))
+    best = front = written(sources.select(F.col("vid").alias("source"), "vid", F.lit(0.0).alias("dist"), F.lit(float("-inf")).alias("_l")))
+    while True:
+        step = front.join(e, front["vid"] == e["src"]).select("source", F.col("dst").alias("vid"), (F.col("dist") + F.col("length")).alias("dist"), F.greatest("_l", -F.col("length")).alias("_l"))
+        step = step.where(F.col("dist") <= limit).groupBy("source", "vid").agg(F.min(F.struct("dist", "_l")).alias("_n"))
+        old = best.select("source", "vid", F.struct("dist", "_l").alias("_o"))
+        front = written(step.join(old, ["source", "vid"], "left").where(F.col("_o").isNull() | (F.col("_n") < F.col("_o"))).select("source", "vid", "_n.dist", "_n._l"))
+        if front.isEmpty():
+            return best.where("source <> vid").select("source", "vid", "dist", (-F.col("_l")).alias("least"))
+        best = written(best.unionByName(front).groupBy("source", "vid").agg(F.min(F.struct("dist", "_l")).alias("_n")).select("source", "vid", "_n.dist", "_n._l"))
+
+
 def field_within(distances: DataFrame, vertices: DataFrame, field: str) -> DataFrame:
     """vid, total: the field summed over the vertices that bounded_distances reaches, itself included."""
     f = vertices.select("vid", F.col(field).alias("_f"))

@@ -372,9 +372,9 @@ def obs_extremes(spark, d):
     return observations.extremes(indexed(spark, d), "v")
 
 
-@query("SELECT o_custkey, round(sum(o_totalprice * o_orderkey) / sum(o_orderkey), 4) AS mean FROM orders GROUP BY 1")
+@query("SELECT o_custkey, round(sum(o_totalprice * (o_orderkey + 1)) / sum(o_orderkey + 1), 4) AS mean FROM orders GROUP BY 1")
 def obs_weighted_mean(spark, d):
-    return rounded(observations.weighted_variance(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", "o_orderkey").select("o_custkey", "mean"), 4)
+    return rounded(observations.weighted_variance(table(spark, d, "orders").withColumn("w", F.col("o_orderkey") + 1), ["o_custkey"], "o_totalprice", "w").select("o_custkey", "mean"), 4)
 
 
 # Inference
@@ -429,11 +429,30 @@ def nn_self(spark, d):
     return rounded(points.nn_statistics(_nn(spark, d), KEYS))
 
 
-@query(f"WITH {P} SELECT a.tomo_id, a.part_id AS id, round(min({DIST}), 6) AS dist FROM p a JOIN p b ON a.tomo_id = b.tomo_id AND a.list_id = 0 AND b.list_id = 1 GROUP BY ALL")
-def nn_cross(spark, d):
+def both_lists(spark, d):
+    """(reference points, target points) for every ordered pair of lists: each point once for each other list, under the keys reference, target, tomo_id."""
     p = particles(spark, d)
-    out = points.knn(p.where("list_id = 0"), p.where("list_id = 1"), 1, ["tomo_id"])
-    return rounded(out.select("tomo_id", "id", "dist"))
+    lists = p.select("list_id").distinct()
+    left = p.withColumnRenamed("list_id", "reference").join(F.broadcast(lists.withColumnRenamed("list_id", "target")), F.col("reference") != F.col("target"))
+    right = p.withColumnRenamed("list_id", "target").join(F.broadcast(lists.withColumnRenamed("list_id", "reference")), F.col("reference") != F.col("target"))
+    return left, right
+
+
+PAIR = ["reference", "target", "tomo_id"]
+BOTH = "p a JOIN p b ON a.tomo_id = b.tomo_id AND a.list_id <> b.list_id"
+
+
+@query(f"WITH {P} SELECT a.list_id AS reference, b.list_id AS target, a.tomo_id, a.part_id AS id, round(min({DIST}), 6) AS dist FROM {BOTH} GROUP BY ALL")
+def nn_cross(spark, d):
+    out = points.knn(*both_lists(spark, d), 1, PAIR)
+    return rounded(out.select(*PAIR, "id", "dist"))
+
+
+@query(f"WITH {P}, x AS (SELECT a.list_id AS reference, b.list_id AS target, min({DIST}) AS dist FROM {BOTH} GROUP BY a.list_id, b.list_id, a.part_id), s AS (SELECT reference, target, count(*) AS n, avg(dist) AS m, var_pop(dist) AS v FROM x GROUP BY ALL) SELECT reference, target, n, round(m, 6) AS mean_nnd, round(v, 6) AS var_nnd, round((m - 0.5 / sqrt(n / 2500.0)) / (0.26136 / sqrt(n * n / 2500.0)), 6) AS z FROM s")
+def nn_cross_ztest(spark, d):
+    nn = points.knn(*both_lists(spark, d), 1, PAIR)
+    s = points.nn_statistics(nn, ["reference", "target"]).withColumn("area", F.lit(2500.0))
+    return rounded(points.ann_zscore(s).drop("area"))
 
 
 @query(f"WITH {P} SELECT a.list_id, a.part_id AS id, round(max({DIST}), 6) AS dist FROM p a JOIN p b ON a.list_id = b.list_id AND a.part_id <> b.part_id GROUP BY ALL")
@@ -462,11 +481,10 @@ def g_function(spark, d):
     return rounded(points.histogram_cdf(_nn(spark, d), ["list_id"], 0.0, 30.0, 20))
 
 
-@query(f"WITH {P}, x AS (SELECT a.tomo_id, a.part_id AS id, min({DIST}) AS dist FROM p a JOIN p b ON a.tomo_id = b.tomo_id AND a.list_id = 2 AND b.list_id = 3 GROUP BY ALL), {_cdf_sql('x', 'tomo_id')}")
+@query(f"WITH {P}, x AS (SELECT a.list_id * 100 + b.list_id AS pair, a.tomo_id, a.part_id AS id, min({DIST}) AS dist FROM {BOTH} GROUP BY ALL), {_cdf_sql('x', 'pair')}")
 def f_function(spark, d):
-    p = particles(spark, d)
-    x = points.knn(p.where("list_id = 2"), p.where("list_id = 3"), 1, ["tomo_id"])
-    return rounded(points.histogram_cdf(x, ["tomo_id"], 0.0, 30.0, 20))
+    x = points.knn(*both_lists(spark, d), 1, PAIR).withColumn("pair", F.col("reference") * 100 + F.col("target"))
+    return rounded(points.histogram_cdf(x, ["pair"], 0.0, 30.0, 20))
 
 
 @query(f"WITH {P}, {NN} SELECT list_id, s, round(avg((dist <= s)::INT), 6) AS fraction FROM nn CROSS JOIN (VALUES (2.0::DOUBLE), (5.0), (10.0)) AS t(s) GROUP BY ALL")
@@ -507,16 +525,14 @@ def ripley_o_shell(spark, d):
     return rounded(points.shell_order(k, _sizes(p).where("n > 1").withColumn("volume", F.lit(80000.0)), KEYS).select(*KEYS, "r", "o"))
 
 
-@query(f"WITH {P}, q AS (SELECT a.tomo_id, {DIST} AS dist FROM p a JOIN p b ON a.tomo_id = b.tomo_id AND a.list_id = 0 AND b.list_id = 1) SELECT g.tomo_id, r.r, (SELECT count(*) FROM q WHERE q.tomo_id = g.tomo_id AND q.dist <= r.r) AS pairs FROM (SELECT DISTINCT tomo_id FROM p WHERE list_id = 0) g CROSS JOIN (VALUES (2.0::DOUBLE), (5.0), (9.0)) AS r(r)")
+@query(f"WITH {P}, q AS (SELECT a.list_id AS reference, b.list_id AS target, a.tomo_id, {DIST} AS dist FROM {BOTH}), l AS (SELECT DISTINCT list_id FROM p), g AS (SELECT DISTINCT p.list_id AS reference, l.list_id AS target, p.tomo_id FROM p, l WHERE p.list_id <> l.list_id) SELECT g.reference, g.target, g.tomo_id, r.r, count(q.dist) FILTER (q.dist <= r.r) AS pairs FROM g CROSS JOIN (VALUES (2.0::DOUBLE), (5.0), (9.0)) AS r(r) LEFT JOIN q ON q.reference = g.reference AND q.target = g.target AND q.tomo_id = g.tomo_id GROUP BY ALL")
 def bi_2nd_order(spark, d):
-    p = particles(spark, d)
-    return points.pair_counts(p.where("list_id = 0"), p.where("list_id = 1"), RADII, ["tomo_id"], same=False)
+    return points.pair_counts(*both_lists(spark, d), RADII, PAIR, same=False)
 
 
-@query(f"WITH {P}, q AS (SELECT a.tomo_id, a.part_id AS id, b.part_id AS other, {DIST} AS dist FROM p a JOIN p b ON a.tomo_id = b.tomo_id AND a.list_id = 4 AND b.list_id = 5), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS rank FROM q WHERE dist <= 12) SELECT tomo_id, id, other, round(dist, 6) AS dist, rank FROM r WHERE rank <= 2")
+@query(f"WITH {P}, q AS (SELECT a.list_id AS reference, b.list_id AS target, a.tomo_id, a.part_id AS id, b.part_id AS other, {DIST} AS dist FROM {BOTH}), r AS (SELECT *, row_number() OVER (PARTITION BY target, id ORDER BY dist, other) AS rank FROM q WHERE dist <= 12) SELECT reference, target, tomo_id, id, other, round(dist, 6) AS dist, rank FROM r WHERE rank <= 2")
 def shortest_distance_matrix(spark, d):
-    p = particles(spark, d)
-    return rounded(points.shortest_distances(p.where("list_id = 4"), p.where("list_id = 5"), 12.0, 2, ["tomo_id"]))
+    return rounded(points.shortest_distances(*both_lists(spark, d), 12.0, 2, PAIR))
 
 
 @query(f"WITH {P} SELECT part_id, round(x, 6) AS u, round(y, 6) AS v FROM p")
@@ -556,10 +572,10 @@ def pvalue_two_sided(spark, d):
     return rounded(_p_values(spark, d))
 
 
-@query("WITH p AS (SELECT event_type AS r, round(avg((m >= value)::INT), 9) AS p FROM (SELECT *, avg(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY 1) SELECT round(max(p), 6) AS best FROM p")
+@query("WITH p AS (SELECT ascii(event_type)::DOUBLE AS r, avg((m >= value)::INT) AS p FROM (SELECT *, avg(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY event_type) SELECT round(max(p), 6) AS best, arg_max(r, struct_pack(a := p, b := -r)) AS r FROM p")
 def pvalue_signed_max(spark, d):
-    p = _p_values(spark, d).withColumns({"g": F.lit(1), "r": F.length("r").cast("double")})
-    return rounded(points.max_percentile(p, ["g"]).select("best"))
+    p = _p_values(spark, d).withColumns({"g": F.lit(1), "r": F.ascii("r").cast("double")})
+    return rounded(points.max_percentile(p, ["g"]).select("best", "r"))
 
 
 # Simulation
@@ -665,9 +681,17 @@ _division("at_most", "count(*) FILTER (boundary_id IN (1, 2, 4)) = count(*)")
 LINKS = "b AS (SELECT x.boundary_id AS a, y.boundary_id AS b, count(*) AS n_segments FROM c x JOIN c y ON x.segment_id = y.segment_id AND x.boundary_id < y.boundary_id GROUP BY ALL)"
 
 
-@query(f"WITH {C}, {LINKS} SELECT * FROM b")
+def supplier_contacts(spark, d):
+    """Segments: orders; boundaries: their suppliers."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("segment_id"), F.col("l_suppkey").alias("boundary_id"), F.lit(1).cast("long").alias("n"))
+
+
+CS = "c AS (SELECT l_orderkey AS segment_id, l_suppkey AS boundary_id, count(*) AS n FROM lineitem GROUP BY ALL)"
+
+
+@query(f"WITH {CS}, {LINKS} SELECT * FROM b")
 def linked_boundaries_d1(spark, d):
-    return contacts.linked_boundaries(contact_rows(spark, d))
+    return contacts.linked_boundaries(supplier_contacts(spark, d))
 
 
 def _sparse_contacts(spark, d):
@@ -684,15 +708,16 @@ def linked_boundaries_d2(spark, d):
     return contacts.linked_at(contact_rows(spark, d), 2)
 
 
-@query(f"WITH RECURSIVE {C}, r(a, b) AS (SELECT DISTINCT x.boundary_id, y.boundary_id FROM c x JOIN c y USING (segment_id) UNION SELECT r.a, y.boundary_id FROM r JOIN c x ON x.boundary_id = r.b JOIN c y ON x.segment_id = y.segment_id) SELECT a AS boundary_id, min(b) AS cluster FROM r GROUP BY 1")
+@query(f"WITH RECURSIVE {CS}, r(a, b) AS (SELECT DISTINCT x.boundary_id, y.boundary_id FROM c x JOIN c y USING (segment_id) UNION SELECT r.a, y.boundary_id FROM r JOIN c x ON x.boundary_id = r.b JOIN c y ON x.segment_id = y.segment_id) SELECT a AS boundary_id, min(b) AS cluster FROM r GROUP BY 1")
 def boundary_clusters(spark, d):
-    return contacts.boundary_clusters(contact_rows(spark, d))
+    return contacts.boundary_clusters(supplier_contacts(spark, d))
 
 
-@query(f"WITH {C}, {LINKS}, s AS (SELECT segment_id, count(*) AS k FROM c GROUP BY 1 HAVING count(*) > 1) SELECT (SELECT min(boundary_id) FROM c) AS cluster, (SELECT count(DISTINCT boundary_id) FROM c) AS n_boundaries, (SELECT count(*) FROM s) AS n_connections, (SELECT count(*) FROM b) AS n_links, (SELECT sum(greatest(k - 2, 0)) FROM s)::BIGINT AS branches, ((SELECT count(DISTINCT boundary_id) FROM c) - (SELECT sum(k - 1) FROM s))::BIGINT AS euler")
+@query(f"WITH {CS}, {LINKS}, s AS (SELECT segment_id, count(*) AS k FROM c GROUP BY 1 HAVING count(*) > 1), t AS (SELECT (SELECT min(boundary_id) FROM c) AS cluster, (SELECT count(DISTINCT boundary_id) FROM c) AS n_boundaries, (SELECT count(*) FROM s) AS n_connections, (SELECT count(*) FROM b) AS n_links, (SELECT sum(greatest(k - 2, 0)) FROM s)::BIGINT AS branches, ((SELECT count(DISTINCT boundary_id) FROM c) - (SELECT sum(k - 1) FROM s))::BIGINT AS euler) SELECT *, 1 - euler AS loops, n_links - n_boundaries + 1 AS link_loops, round((1 - euler) / n_connections, 6) AS redundancy FROM t")
 def cluster_links_loops(spark, d):
-    c = contact_rows(spark, d)
-    return contacts.cluster_topology(c, contacts.boundary_clusters(c)).drop("loops", "link_loops", "redundancy")
+    """All suppliers are one cluster, by the orders that they share."""
+    c = supplier_contacts(spark, d)
+    return rounded(contacts.cluster_topology(c, contacts.boundary_clusters(c)))
 
 
 @query("SELECT o_orderkey AS segment_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
@@ -730,6 +755,12 @@ def graph_components(spark, d):
     return graphs.subgraph_ids(v, e)
 
 
+@query()
+def graph_components_whole(spark, d):
+    """Components of the part-supplier graph without its longer edges: chains and merging components."""
+    return graphs.subgraph_ids(vertices(spark, d), edges(spark, d).where("length <= 2"))
+
+
 @query(f"WITH {GRAPH} SELECT src, dst FROM e WHERE src IN (SELECT vid FROM v WHERE value > 1000) AND dst IN (SELECT vid FROM v WHERE value > 1000)")
 def graph_threshold(spark, d):
     return graphs.threshold(vertices(spark, d), edges(spark, d), "value", "gt", 1000)[1].select("src", "dst")
@@ -774,9 +805,10 @@ def graph_size_filter(spark, d):
     return rounded(graphs.size_filter(_bounded(spark, d), vertices(spark, d), "value", 1.5, 1.5), 4)
 
 
-@query(f"WITH {GRAPH} SELECT f.src AS vid, round(sum(value * exp(0.001 * (1 - length) * (1 - length))), 4) AS value FROM f JOIN v ON v.vid = f.dst GROUP BY 1")
+@query(f"WITH {GRAPH}, g AS (SELECT * FROM f WHERE length <= 4), w AS (SELECT src, dst, length AS d, length AS l FROM g UNION ALL SELECT a.src, b.dst, a.length + b.length, least(a.length, b.length) FROM g a JOIN g b ON a.dst = b.src AND a.src <> b.dst WHERE a.length + b.length <= 4 UNION ALL SELECT a.src, c.dst, a.length + b.length + c.length, least(a.length, b.length, c.length) FROM g a JOIN g b ON a.dst = b.src JOIN g c ON b.dst = c.src WHERE a.src <> c.dst AND a.length + b.length + c.length <= 4 UNION ALL SELECT a.src, e.dst, a.length + b.length + c.length + e.length, 1 FROM g a JOIN g b ON a.dst = b.src JOIN g c ON b.dst = c.src JOIN g e ON c.dst = e.src WHERE a.src <> e.dst AND a.length + b.length + c.length + e.length <= 4), m AS (SELECT src, dst, arg_min(l, struct_pack(d := d, l := -l)) AS l FROM w GROUP BY ALL) SELECT src AS vid, round(sum(value * exp(0.001 * (1 - l) * (1 - l))), 4) AS value FROM m JOIN v ON v.vid = m.dst GROUP BY 1")
 def graph_bilateral(spark, d):
-    p = graphs.both_ways(edges(spark, d)).select(F.col("src").alias("source"), F.col("dst").alias("vid"), F.col("length").alias("least"))
+    """Over shortest paths of length 4 at most; of paths of one length the one with the greatest least edge counts."""
+    p = graphs.path_minima(edges(spark, d), vertices(spark, d), 4.0)
     return rounded(graphs.bilateral(p, vertices(spark, d), "value", 0.001), 4)
 
 
@@ -945,10 +977,11 @@ def pca(spark, d):
 CENTRED = "m AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x - list_avg(embedding::DOUBLE[])) AS c, label FROM embeddings)"
 
 
-@query(f"WITH {CENTRED}, e AS (SELECT * FROM m WHERE vec_id < 10), s AS (SELECT m.vec_id AS id, e.vec_id AS exemplar, list_inner_product(m.c, e.c) / sqrt(list_inner_product(m.c, m.c) * list_inner_product(e.c, e.c)) AS ncc FROM m, e) SELECT id, arg_min(exemplar, (-ncc, exemplar)) AS exemplar, round(max(ncc), 6) AS ncc FROM s GROUP BY id")
+@query(f"WITH {CENTRED}, e AS (SELECT * FROM m WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)), s AS (SELECT m.vec_id AS id, e.vec_id AS exemplar, list_inner_product(m.c, e.c) / sqrt(list_inner_product(m.c, m.c) * list_inner_product(e.c, e.c)) AS ncc FROM m, e) SELECT id, arg_min(exemplar, (-ncc, exemplar)) AS exemplar, round(max(ncc), 6) AS ncc FROM s GROUP BY id")
 def exemplar_assign(spark, d):
     v = _vectors(spark, d)
-    return rounded(clusters.assign_exemplars(v, v.where("vec_id < 10"), "vec_id", "features"))
+    first = table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id"))  # one for each label
+    return rounded(clusters.assign_exemplars(v, v.join(F.broadcast(first), "vec_id", "left_semi"), "vec_id", "features"))
 
 
 # Curves
@@ -1025,10 +1058,10 @@ def label_density_stats(spark, d):
     return rounded(voxels.label_stats(voxel_rows(spark, d)))
 
 
-@query(f"WITH {X} SELECT label % 2 AS half, count(*) AS volume, round(avg(value), 6) AS mean FROM x GROUP BY 1")
+@query(f"WITH {X} SELECT label % 2 AS half, count(*) AS volume, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM x GROUP BY 1")
 def label_density_aggregate(spark, d):
     s = voxels.label_stats(voxel_rows(spark, d)).withColumn("half", F.col("label") % 2)
-    return rounded(voxels.merged_stats(s, ["half"], "half").select("half", "volume", "mean"))
+    return rounded(voxels.merged_stats(s, ["half"], "half").select("half", "volume", "mean", "std", "min", "max"))
 
 
 @query(f"WITH {X} SELECT x, y, z FROM x WHERE value >= 30")
