@@ -82,6 +82,11 @@ def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
     return out.withColumn("fraction", F.col("n") / F.sum("n").over(W.partitionBy()))
 
 
+def centroids(df: DataFrame, keys: Sequence[str], axes: Sequence[str] = XYZ) -> DataFrame:
+    """keys, n, and the mean of each axis as c<axis>."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"c{c}") for c in axes])
+
+
 @settling
 def single_linkage(points: DataFrame, radius: float, keys: Sequence[str], id_col: str = "part_id", axes: Sequence[str] = XYZ) -> DataFrame:
     """keys, id, cluster (least id): flat single linkage, the components of pairs at most radius apart; each point its own if radius is 0 or less."""

@@ -56,3 +56,28 @@ def overlap(members: DataFrame, other: DataFrame, radius: float) -> DataFrame:
     a, b = members.where("layer = 1"), other.where("layer = 1")
     near = pairs_within(a, b, radius, ["tomo_id"]).select("tomo_id", F.col("a.part_id").alias("part_id")).distinct().withColumn("_o", F.lit(True))
     return a.join(near, ["tomo_id", "part_id"], "left").withColumn("overlaps", F.coalesce("_o", F.lit(False))).drop("_o")
+
+
+def near_columns(members: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """points with near: whether a member of a column of the same tomogram is at most radius away, seen along z."""
+    hit = pairs_within(points, members, radius, ["tomo_id"], ("x", "y")).select("tomo_id", F.col("a.part_id").alias("part_id")).distinct().withColumn("near", F.lit(True))
+    return points.join(hit, ["tomo_id", "part_id"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+
+
+def count_where(columns: DataFrame, condition) -> DataFrame:
+    """tomo_id, n: columns whose properties meet a condition."""
+    return columns.groupBy("tomo_id").agg(F.count_if(condition).alias("n"))
+
+
+def exclusive_sub_columns(clusters: DataFrame, radius: float) -> DataFrame:
+    """tomo_id, c1, c2, c3: sub-columns in which each cluster takes part once: those with most aligned pairs (both sides' sum) come first, ties to the least clusters."""
+    from quadrat.operators.suppression import settled_rounds
+
+    two = alignment(clusters, 1, 2, radius).select("tomo_id", F.col("upper").alias("c1"), F.col("lower").alias("c2"), F.col("n").alias("_n2"))
+    three = alignment(clusters, 1, 3, radius).select("tomo_id", F.col("upper").alias("c1"), F.col("lower").alias("c3"), F.col("n").alias("_n3"))
+    every = two.join(three, ["tomo_id", "c1"]).select("tomo_id", (-(F.col("_n2") + F.col("_n3"))).alias("m"), "c1", "c2", "c3")
+    item = F.struct("m", "c1", "c2", "c3")
+    ends = every.select("tomo_id", item.alias("i"), F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), F.col(f"c{k}").alias("c")) for k in (1, 2, 3)])).alias("e"))
+    pairs = ends.alias("a").join(ends.alias("b"), ["tomo_id", "e"]).where("a.i < b.i").select(F.struct("tomo_id", F.col("a.i").alias("i")).alias("over"), F.struct("tomo_id", F.col("b.i").alias("i")).alias("id")).distinct()
+    kept = settled_rounds(pairs, every.select(F.struct("tomo_id", item.alias("i")).alias("id")))
+    return kept.select("id.tomo_id", "id.i.c1", "id.i.c2", "id.i.c3")

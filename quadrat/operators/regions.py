@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.operators.clusters import normalised_dot
@@ -97,10 +97,24 @@ def second_order_in_voi(pair_counts: DataFrame, volumes: DataFrame, density: Dat
 
 
 def edge_weights(points: DataFrame, box: Sequence[float], r: float) -> DataFrame:
-    """points with weight: area of the circle of radius r over its part inside the box (0, 0, a, b), by the box's cut of its bounding square."""
+    """points with weight: area of the circle of radius r about each over its part inside the box (0, 0, a, b)."""
     a, b = box
-    inside = lambda c, top: F.least(F.col(c) + r, F.lit(float(top))) - F.greatest(F.col(c) - r, F.lit(0.0))
-    return points.withColumn("weight", 4.0 * r * r / F.nullif(inside("x", a) * inside("y", b), F.lit(0.0)))
+    x0, x1, y0, y1 = -F.col("x"), a - F.col("x"), -F.col("y"), b - F.col("y")
+    inside = _below(x1, y1, r) - _below(x0, y1, r) - _below(x1, y0, r) + _below(x0, y0, r)
+    return points.withColumn("weight", 3.141592653589793 * r * r / F.nullif(F.greatest(inside, F.lit(0.0)), F.lit(0.0)))
+
+
+def _below(u: Column, v: Column, r: float) -> Column:
+    """Area of the part x <= u, y <= v of the circle of radius r about 0: the integral of its height over x."""
+    u, v = (F.greatest(F.lit(-r), F.least(F.lit(r), c)) for c in (u, v))
+    half = lambda x: (x * F.sqrt(F.greatest(r * r - x * x, F.lit(0.0))) + r * r * F.asin(x / r)) / 2  # noqa: E731  (integral of the half circle)
+    w = F.sqrt(r * r - v * v)  # where the circle meets y = v
+    mid = F.greatest(-w, F.least(w, u))
+    # The lower half counts for v >= 0 everywhere; up to v only between -w and w, the whole half circle elsewhere.
+    upper = half(F.least(u, -w)) - half(F.lit(-r)) + v * (mid + w) + half(F.greatest(u, w)) - half(w)
+    full = half(u) - half(F.lit(-r)) + upper
+    part = v * (mid + w) + half(mid) - half(-w)
+    return F.when(v >= 0, full).otherwise(part)
 
 
 def interpolated(points: DataFrame, voxels: DataFrame, keys: Sequence[str] = ("tomo_id",), id_col: str = "part_id") -> DataFrame:
@@ -197,3 +211,87 @@ def crossing(curves: DataFrame, points: DataFrame, radius: float, keys: Sequence
     """keys, id, curve_id, seq, dist: each point's nearest sample of a curve within radius, by curve."""
     p = pairs_within(points, curves, radius, keys).select(*keys, F.col("a.part_id").alias("id"), F.col("b.curve_id").alias("curve_id"), F.col("b.seq").alias("seq"), "dist")
     return p.groupBy(*keys, "id", "curve_id").agg(F.min(F.struct("dist", "seq")).alias("_m")).select(*keys, "id", "curve_id", F.col("_m.seq").alias("seq"), F.col("_m.dist").alias("dist"))
+
+
+def second_order_terms(pair_counts: DataFrame, volumes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, r, pairs, volume: numerator and denominator of the second order apart: partners, and local volumes summed over the points."""
+    v = volumes.groupBy(*keys, "r").agg(F.sum("volume").alias("volume"))
+    return pair_counts.join(v, [*keys, "r"]).select(*keys, "r", "pairs", "volume")
+
+
+def interior(points: DataFrame, outside: DataFrame, border: float, keys: Sequence[str] = ("tomo_id",), id_col: str = "part_id") -> DataFrame:
+    """Points that are farther than border from every voxel outside the volume of interest."""
+    near = pairs_within(points, outside, border, keys).select(*keys, F.col(f"a.{id_col}").alias(id_col)).distinct()
+    return points.join(near, [*keys, id_col], "left_anti")
+
+
+def embedded(points: DataFrame, voi: DataFrame, keys: Sequence[str] = ("tomo_id",), size: float = 1.0) -> DataFrame:
+    """Points whose voxel (of the given size) is in the volume of interest."""
+    at = [F.round(F.col(c) / size).cast("long") for c in XYZ]
+    v = voi.select(*keys, *[a.alias(f"_{c}") for a, c in zip(at, XYZ)]).distinct()
+    return points.withColumns({f"_{c}": a for a, c in zip(at, XYZ)}).join(v, [*keys, *[f"_{c}" for c in XYZ]], "left_semi").select(points.columns)
+
+
+def gaussian_density(points: DataFrame, sigma: float, keys: Sequence[str] = ("tomo_id",)) -> DataFrame:
+    """keys, x, y, z, value: a density of Gaussian balls about the points, on whole voxels up to 3 sigma away."""
+    half = int(3 * sigma + 1)
+    p = points.select(*keys, *[F.col(c).alias(f"_{c}") for c in XYZ])
+    for c in XYZ:
+        p = p.withColumn(c, F.explode(F.sequence(F.floor(F.col(f"_{c}")) - half + 1, F.floor(F.col(f"_{c}")) + half)))
+    d2 = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in XYZ), F.lit(0.0))
+    return p.withColumn("_d", d2).where(F.col("_d") <= 9 * sigma * sigma).groupBy(*keys, *XYZ).agg(F.sum(F.exp(-F.col("_d") / (2 * sigma * sigma))).alias("value"))
+
+
+def moments_2d(voxels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, area, x, y, eccentricity of flat objects, from their moments."""
+    m = voxels.groupBy(*keys).agg(F.count(F.lit(1)).alias("area"), *[F.avg(c).alias(c) for c in "xy"], F.var_pop("x").alias("_xx"), F.var_pop("y").alias("_yy"), F.covar_pop("x", "y").alias("_xy"))
+    root = F.sqrt((F.col("_xx") - F.col("_yy")) * (F.col("_xx") - F.col("_yy")) + 4 * F.col("_xy") * F.col("_xy"))
+    big, small = F.col("_xx") + F.col("_yy") + root, F.col("_xx") + F.col("_yy") - root
+    return m.select(*keys, "area", "x", "y", F.when(big > 0, F.sqrt(F.greatest(1 - small / big, F.lit(0.0)))).otherwise(0.0).alias("eccentricity"))
+
+
+def sides(points: DataFrame, surface: DataFrame, keys: Sequence[str] = ("tomo_id",), id_col: str = "part_id", vector: str | None = None) -> DataFrame:
+    """keys, id, dist, side (1 where the nearest surface sample's normal points to, 2 on the other side, 0 on it), angle (of the
+    points' vector to that normal, where a column is given). surface: part_id, x, y, z, normal (array)."""
+    from quadrat.functions import geometry as G
+    from quadrat.operators.points import knn
+
+    near = knn(points, surface, 1, keys, id_col, "part_id").select(*keys, "id", F.col("other"), "dist")
+    s = surface.select(*keys, F.col("part_id").alias("other"), *[F.col(c).alias(f"_s{c}") for c in XYZ], F.col("normal").alias("_n"))
+    p = points.select(*keys, F.col(id_col).alias("id"), *XYZ, *([F.col(vector).alias("_v")] if vector else []))
+    out = near.join(s, [*keys, "other"]).join(p, [*keys, "id"])
+    dot = sum(((F.col(c) - F.col(f"_s{c}")) * F.col("_n")[k] for k, c in enumerate(XYZ)), F.lit(0.0))
+    angle = [G.angle(F.col("_v"), F.col("_n")).alias("angle")] if vector else []
+    return out.select(*keys, "id", "dist", F.when(dot > 0, 1).when(dot < 0, 2).otherwise(0).cast("long").alias("side"), *angle)
+
+
+def inside_surface(points: DataFrame, triangles: DataFrame, cell: float, keys: Sequence[str] = ("tomo_id",), id_col: str = "part_id") -> DataFrame:
+    """keys, id of the points inside a closed surface: the ray up from the point crosses an odd number of its triangles.
+
+    triangles: keys and a, b, c (structs of x, y, z). Triangles are dealt over the cells of their shadows in the xy plane; an
+    edge counts for the triangle that lies to one side of it, so a ray through an edge or a corner is counted once.
+    """
+    t = triangles.select(*keys, "a", "b", "c")
+    for k, c in enumerate("xy"):
+        low, high = F.least(*[F.col(f"{q}.{c}") for q in "abc"]), F.greatest(*[F.col(f"{q}.{c}") for q in "abc"])
+        t = t.withColumn(f"_c{k}", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+    p = points.select(*keys, F.col(id_col).alias("id"), *XYZ, *[F.floor(F.col(c) / cell).alias(f"_c{k}") for k, c in enumerate("xy")])
+    j = p.join(t, [*keys, "_c0", "_c1"])
+    # The vertical plane through the point cuts the triangle's outline in two edges (lower end in, upper end out, in y); x of the cuts tells whether the point is between.
+    cuts = []
+    for q, r in (("a", "b"), ("b", "c"), ("c", "a")):
+        y0, y1 = F.col(f"{q}.y"), F.col(f"{r}.y")
+        meets = (F.least(y0, y1) <= F.col("y")) & (F.col("y") < F.greatest(y0, y1))
+        s = (F.col("y") - y0) / F.nullif(y1 - y0, F.lit(0.0))
+        cuts.append(F.when(meets, F.struct((F.col(f"{q}.x") + s * (F.col(f"{r}.x") - F.col(f"{q}.x"))).alias("x"), (F.col(f"{q}.z") + s * (F.col(f"{r}.z") - F.col(f"{q}.z"))).alias("z"))))
+    j = j.withColumn("_k", F.array_sort(F.filter(F.array(*cuts), lambda c: c.isNotNull()))).where(F.size("_k") == 2)
+    lo, hi = F.get("_k", F.lit(0)), F.get("_k", F.lit(1))
+    z = lo["z"] + (F.col("x") - lo["x"]) / F.nullif(hi["x"] - lo["x"], F.lit(0.0)) * (hi["z"] - lo["z"])
+    j = j.where((lo["x"] <= F.col("x")) & (F.col("x") < hi["x"]) & (z > F.col("z")))
+    return j.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(*keys, "id")
+
+
+def crossing_curves(curves: DataFrame, radius: float, keys: Sequence[str] = ("tomo_id",)) -> DataFrame:
+    """keys, a, b (a < b): curves with samples nearer than 2 * radius."""
+    p = pairs_within(curves, curves, 2 * radius, keys, strict=True).where("a.curve_id < b.curve_id")
+    return p.select(*keys, F.col("a.curve_id").alias("a"), F.col("b.curve_id").alias("b")).distinct()

@@ -66,3 +66,89 @@ def shifted_filaments(curves: DataFrame, boxes: DataFrame, seed: int = 0, key: s
     dx, dy, dz = (F.col(a) - F.col(f"_f.{a}") for a in "xyz")
     new = {"x": F.col("_tx") + dx * F.cos("_a") - dy * F.sin("_a"), "y": F.col("_ty") + dx * F.sin("_a") + dy * F.cos("_a"), "z": F.col("_tz") + dz}
     return c.withColumns(new).select(curves.columns)
+
+
+# Models with rejection: every try is a draw of its own, and the first one that holds is taken.
+
+
+def _tried(points: DataFrame, tries: int) -> DataFrame:
+    return points.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+
+
+def _first(tried: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    return tried.groupBy(*keys).agg(F.min_by(F.struct(*columns), "_try").alias("_t")).select(*keys, "_t.*")
+
+
+def csr_in_voi(counts: DataFrame, voi: DataFrame, sims: int, tries: int = 10, seed: int = 0, size: float = 1.0) -> DataFrame:
+    """sim_id, tomo_id, part_id, x, y, z: uniform points of the volume of interest's box that fall on its voxels; a point that no try places is left out. counts: tomo_id, n."""
+    from quadrat.operators.regions import embedded
+
+    box = voi.groupBy("tomo_id").agg(F.array(*[F.min(c) - size / 2 for c in "xyz"]).alias("lo"), F.array(*[F.max(c) + size / 2 for c in "xyz"]).alias("hi"))
+    own = box.join(counts, "tomo_id").withColumn("sim_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long")))).where("n > 0")
+    own = _tried(own.withColumn("part_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1))), tries)
+    at = [(F.col("lo")[k] + unit(seed, "sim_id", "tomo_id", "part_id", "_try", F.lit(k)) * (F.col("hi")[k] - F.col("lo")[k])).alias(c) for k, c in enumerate("xyz")]
+    drawn = own.select("sim_id", "tomo_id", "part_id", "_try", *at)
+    return _first(embedded(drawn, voi, size=size), ["sim_id", "tomo_id", "part_id"], ["x", "y", "z"])
+
+
+def periodic_points(voxels: DataFrame, counts: DataFrame, cycles: Sequence[float], size: Sequence[float], threshold: float, sims: int, seed: int = 0) -> DataFrame:
+    """sim_id, tomo_id, x, y, z: n of the voxels where the mean of three sines is above the threshold, by simulation and tomogram."""
+    return csr_voxels(periodic(voxels, cycles, size, threshold), counts, sims, seed)
+
+
+def second_pattern_in_voi(points: DataFrame, voi: DataFrame, mean: float, std: float, tries: int = 10, seed: int = 0, size: float = 1.0) -> DataFrame:
+    """A counterpart of each point at a distance N(mean, std) in a uniform direction, on the volume of interest; points that no try places are left out."""
+    from quadrat.operators.regions import embedded
+
+    key = [c for c in ("sim_id", "tomo_id", "part_id") if c in points.columns]
+    moved = None
+    for t in range(tries):
+        one = second_pattern(points, mean, std, seed * 1000 + t).withColumn("_try", F.lit(t))
+        moved = one if moved is None else moved.unionByName(one)
+    return _first(embedded(moved, voi, size=size), key, ["x", "y", "z"])
+
+
+def turned_filaments(curves: DataFrame, voi: DataFrame, boxes: DataFrame, tries: int = 20, seed: int = 0, size: float = 1.0, key: str = "curve_id") -> DataFrame:
+    """Each filament with a random shift and rotation in space at which all its samples are on the volume of interest; filaments that no try places are left out."""
+    from quadrat.functions import geometry as G
+    from quadrat.operators.regions import embedded
+
+    first = curves.groupBy("tomo_id", key).agg(F.min_by(F.struct("x", "y", "z"), "seq").alias("_f"), F.count(F.lit(1)).alias("_n")).join(boxes, "tomo_id")
+    drawn = _tried(first, tries)
+    u = lambda name: unit(seed, "tomo_id", key, "_try", F.lit(name))
+    turn = G.matrix(360 * u("rot"), F.degrees(F.acos(2 * u("tilt") - 1)), 360 * u("psi"))
+    drawn = drawn.select("tomo_id", key, "_try", "_f", "_n", turn.alias("_m"), *[(F.col("lo")[k] + u(c) * (F.col("hi")[k] - F.col("lo")[k])).alias(f"_t{c}") for k, c in enumerate("xyz")])
+    c = curves.join(drawn, ["tomo_id", key])
+    at = G.rotated(F.col("_m"), [F.col(a) - F.col(f"_f.{a}") for a in "xyz"])
+    moved = c.select("tomo_id", key, "seq", "_try", "_n", *[(F.col(f"_t{a}") + v).alias(a) for a, v in zip("xyz", at)])
+    good = embedded(moved, voi, size=size).groupBy("tomo_id", key, "_try").agg(F.count(F.lit(1)).alias("_k"), F.first("_n").alias("_n")).where("_k = _n")
+    best = good.groupBy("tomo_id", key).agg(F.min("_try").alias("_try"))
+    return moved.join(best, ["tomo_id", key, "_try"], "left_semi").select("tomo_id", key, "seq", "x", "y", "z")
+
+
+def inserted(curves: DataFrame, radius: float, key: str = "curve_id") -> DataFrame:
+    """Filaments that can be put in one after the other, by id, without one coming nearer than 2 * radius to an earlier one that stays."""
+    from quadrat.operators.regions import crossing_curves
+    from quadrat.operators.suppression import settled_rounds
+
+    over = crossing_curves(curves.withColumnRenamed(key, "curve_id"), radius)
+    vertex = lambda c: F.struct("tomo_id", F.col(c).alias(key))
+    kept = settled_rounds(over.select(vertex("a").alias("over"), vertex("b").alias("id")), curves.select(vertex(key).alias("id")).distinct())
+    return curves.join(kept.select("id.*"), ["tomo_id", key], "left_semi")
+
+
+def random_layer(points: DataFrame, layer: int, boxes: DataFrame, seed: int = 0) -> DataFrame:
+    """points with one layer's replaced by as many uniform ones of each tomogram: the columns' null model."""
+    own = points.where(F.col("layer") == layer)
+    n = own.groupBy("tomo_id").agg(F.count(F.lit(1)).alias("n"))
+    new = csr(boxes.join(n, "tomo_id"), "n", 1, seed).drop("sim_id").withColumn("layer", F.lit(layer))
+    return points.where(F.col("layer") != layer).select("layer", "tomo_id", "part_id", "x", "y", "z").unionByName(new.select(F.col("layer").cast(points.schema["layer"].dataType).alias("layer"), "tomo_id", F.col("part_id").cast(points.schema["part_id"].dataType).alias("part_id"), "x", "y", "z"))
+
+
+def instances(models: dict[str, DataFrame]) -> DataFrame:
+    """The points of many models' instances as one table, under ``model``."""
+    out = None
+    for name, df in models.items():
+        own = df.withColumn("model", F.lit(name))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out

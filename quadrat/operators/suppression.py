@@ -16,7 +16,6 @@ from quadrat.operators.tables import compare
 from quadrat.storage import settling, written
 
 
-@settling
 def suppressed(points: DataFrame, scale: float, keys: Sequence[str], weight: str | None = None, id_col: str = "part_id", axes: Sequence[str] = XYZ, skip_zero: bool = False) -> DataFrame:
     """The points that a sweep by falling weight (then id) keeps: each one kept suppresses all nearer than scale.
 
@@ -30,17 +29,24 @@ def suppressed(points: DataFrame, scale: float, keys: Sequence[str], weight: str
     a, b = f"a.{id_col}", f"b.{id_col}"
     better = (F.col("a._w") > F.col("b._w")) | ((F.col("a._w") == F.col("b._w")) & (F.col(a) < F.col(b)))
     vertex = lambda c: F.struct(*keys, F.col(c).alias(id_col))  # noqa: E731  (ids may start anew in each key)
-    over = written(pairs.where(better).select(vertex(a).alias("over"), vertex(b).alias("id")))
-    kept, open_ = None, written(points.select(vertex(id_col).alias("id")))
+    kept = settled_rounds(pairs.where(better).select(vertex(a).alias("over"), vertex(b).alias("id")), points.select(vertex(id_col).alias("id")))
+    return points.join(kept.select("id.*"), [*keys, id_col], "left_semi")
+
+
+@settling
+def settled_rounds(over: DataFrame, items: DataFrame) -> DataFrame:
+    """Of (over, id) rows, where over comes first and suppresses id if it stays: the items (id) that a sweep in this order keeps."""
+    over = written(over)
+    kept, open_ = None, written(items)
     while True:
-        # free: no open point is better; they stay, and what they suppress goes
+        # free: no open item comes before; they stay, and what they suppress goes
         live = over.join(open_.withColumnRenamed("id", "over"), "over", "left_semi")
         free = written(open_.join(live.select("id").distinct(), "id", "left_anti"))
         kept = free if kept is None else kept.unionAll(free)
         gone = over.join(free.withColumnRenamed("id", "over"), "over", "left_semi").select("id").distinct()
         open_ = written(open_.join(free, "id", "left_anti").join(gone, "id", "left_anti"))
         if open_.isEmpty():
-            return points.join(kept.select("id.*"), [*keys, id_col], "left_semi")
+            return kept
 
 
 def property_peaks(points: DataFrame, prop: str, least: float, scale: float, n_scale: float, n_least: int, keys: Sequence[str], id_col: str = "part_id") -> DataFrame:
