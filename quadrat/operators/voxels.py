@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import product
 
@@ -154,3 +155,236 @@ def threshold_hierarchy(voxels: DataFrame, thresholds: Sequence[float], connecti
         before = own.withColumnRenamed("_c", "_b")
     top = before.groupBy(*keys, F.col("_b").alias("component")).agg(F.count(F.lit(1)).alias("volume")).withColumn("parent", F.lit(None)).withColumn("level", F.lit(len(thresholds) - 1))
     return top if out is None else out.unionByName(top.withColumn("parent", F.lit(None).cast(out.schema["parent"].dataType)))
+
+
+# Labels
+
+
+def keep_labels(voxels: DataFrame, ids: Sequence[int], keep: bool = True, value: int = 0) -> DataFrame:
+    """Voxels with all other labels (or, not keep, these) set to value."""
+    inside = F.col("label").isin(list(ids))
+    return voxels.withColumn("label", F.when(inside if keep else ~inside, F.col("label")).otherwise(F.lit(value)))
+
+
+def restricted(voxels: DataFrame, mask: DataFrame, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ, value: int = 0) -> DataFrame:
+    """Voxels with the labels outside a mask set to value."""
+    m = mask.select(*keys, *axes).distinct().withColumn("_in", F.lit(True))
+    return voxels.join(m, [*keys, *axes], "left").withColumn("label", F.when(F.col("_in"), F.col("label")).otherwise(F.lit(value))).drop("_in")
+
+
+def mask_and(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """Voxels of both masks."""
+    return a.join(b.select(*keys, *axes), [*keys, *axes], "left_semi")
+
+
+def mask_minus(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    return a.join(b.select(*keys, *axes), [*keys, *axes], "left_anti")
+
+
+def added(old: DataFrame, new: DataFrame, shift: int | None = None, remove_overlap: bool = False, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """Segments of two label tables (label > 0): new ids are shifted (by the greatest old one, by default). Where both have a
+    voxel the old one keeps it; remove_overlap: new segments that meet an old one are left out whole."""
+    old, new = old.where("label > 0"), new.where("label > 0")
+    shift = shift if shift is not None else old.agg(F.max("label")).first()[0] or 0
+    meets = new.join(old.select(*keys, *axes), [*keys, *axes], "left_semi")
+    kept = new.join(meets.select(*keys, "label").distinct(), [*keys, "label"], "left_anti") if remove_overlap else mask_minus(new, old, keys, axes)
+    names = [*keys, *axes, "label"]
+    return old.select(names).unionByName(kept.withColumn("label", F.col("label") + shift).select(names))
+
+
+def magnified(voxels: DataFrame, factor: int, axes: Sequence[str] = XYZ) -> DataFrame:
+    """Each voxel as a cube of factor voxels a side."""
+    for c in axes:
+        voxels = voxels.withColumn(f"_{c}", F.explode(F.sequence(F.lit(0), F.lit(factor - 1)))).withColumn(c, F.col(c) * factor + F.col(f"_{c}")).drop(f"_{c}")
+    return voxels
+
+
+def contrast(voxels: DataFrame, n: float, low: float, high: float, keys: Sequence[str] = ("tomo_id",), mask: str | None = None) -> DataFrame:
+    """mean - n std to mean + n std (population; of the mask's voxels, if given) mapped to low and high, and cut there."""
+    inside = F.col("value") if mask is None else F.when(F.col(mask), F.col("value"))
+    s = voxels.groupBy(*keys).agg(F.avg(inside).alias("_m"), F.stddev_pop(inside).alias("_s"))
+    v = (F.col("value") - (F.col("_m") - n * F.col("_s"))) / F.nullif(2 * n * F.col("_s"), F.lit(0.0)) * (high - low) + low
+    return voxels.join(s, list(keys)).withColumn("value", F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v))).drop("_m", "_s")
+
+
+def log_map(voxels: DataFrame, base: float, low: float | None = None, high: float | None = None) -> DataFrame:
+    """log(value) to a base, cut to [low, high] if given; null where value is not positive."""
+    v = F.log("value") / math.log(base)
+    v = v if low is None else F.greatest(v, F.lit(float(low)))
+    return voxels.withColumn("value", F.when(F.col("value") > 0, v if high is None else F.least(v, F.lit(float(high)))))
+
+
+def labelled_by_bins(voxels: DataFrame, bins: dict[str, Sequence[float]]) -> DataFrame:
+    """voxels with label: the number (from 1) of their bin, over the product of all columns' bins, first column slowest; 0 outside."""
+    from quadrat.operators.tables import bins as bin_of
+
+    out = F.lit(0)
+    for c, edges in bins.items():
+        out = out * (len(edges) - 1) + bin_of(F.col(c), edges)
+    return voxels.withColumn("label", F.coalesce(out + 1, F.lit(0)).cast("long"))
+
+
+def by_volume(voxels: DataFrame, low: int | None = None, high: int | None = None, keys: Sequence[str] = ("tomo_id",)) -> DataFrame:
+    """keys, label, volume of the labels (> 0) with low to high voxels (ends belong to it; null: open)."""
+    n = voxels.where("label > 0").groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("volume"))
+    return n.where(F.col("volume").between(low if low is not None else 0, high if high is not None else 1 << 62))
+
+
+def by_surface_ratio(voxels: DataFrame, low: float, high: float, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """keys, label, ratio of the labels whose surface over volume is within [low, high]."""
+    m = morphology(voxels.where("label > 0"), [*keys, "label"], axes)
+    return m.withColumn("ratio", F.col("surface") / F.col("volume")).where(F.col("ratio").between(low, high)).select(*keys, "label", "ratio")
+
+
+def classes_by_volume(voxels: DataFrame, edges: Sequence[float], keys: Sequence[str] = ("tomo_id",)) -> DataFrame:
+    """keys, label, class: the bin of each label's volume, null outside."""
+    from quadrat.operators.tables import bins as bin_of
+
+    return by_volume(voxels, keys=keys).withColumn("class", bin_of(F.col("volume"), edges)).where("class IS NOT NULL").select(*keys, "label", "class")
+
+
+def surfaces(voxels: DataFrame, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ, inner: bool = False) -> DataFrame:
+    """Voxels of a label with a face neighbour that isn't of it (inner: the others, the interiors)."""
+    own = voxels.where("label > 0")
+    p = neighbour_pairs(own, 1, [*keys, "label"], axes).groupBy(*keys, "label", *[F.col(f"a.{c}").alias(c) for c in axes]).agg(F.count(F.lit(1)).alias("_n"))
+    full = F.coalesce(F.col("_n"), F.lit(0)) == 2 * len(axes)
+    return own.join(p, [*keys, "label", *axes], "left").where(full if inner else ~full).select(voxels.columns)
+
+
+def neighbourhoods(voxels: DataFrame, region: DataFrame, distance: float, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ, remove_overlap: bool = False) -> DataFrame:
+    """keys, axes, label: the region's voxels at most distance from each label; remove_overlap: without those of two labels."""
+    from quadrat.operators.points import pairs_within
+
+    p = pairs_within(region, voxels.where("label > 0"), distance, keys, axes).select(*keys, *[F.col(f"a.{c}").alias(c) for c in axes], F.col("b.label").alias("label")).distinct()
+    if remove_overlap:
+        alone = p.groupBy(*keys, *axes).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+        p = p.join(alone, [*keys, *axes], "left_semi")
+    return p
+
+
+def neighbourhood_density(voxels: DataFrame, region: DataFrame, distance: float, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """keys, label, mean, std, n of the region's values around each label."""
+    n = neighbourhoods(voxels, region, distance, keys, axes).join(region.select(*keys, *axes, "value"), [*keys, *axes])
+    return n.groupBy(*keys, "label").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+def free_region(region: DataFrame, voxels: DataFrame, size: float, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """The region's voxels farther than size from all labels."""
+    return mask_minus(region, neighbourhoods(voxels, region, size, keys, axes), keys, axes)
+
+
+def density_in_layers(voxels: DataFrame, layers: DataFrame, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """keys, layer, n, mean, std and the least layer mean's share (relative, of the mean of all): voxels by their layer."""
+    j = voxels.select(*keys, *axes, "value").join(layers.select(*keys, *axes, "layer"), [*keys, *axes])
+    out = j.groupBy(*keys, "layer").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    every = F.sum(F.col("mean") * F.col("n")).over(W.partitionBy(*keys)) / F.sum("n").over(W.partitionBy(*keys))
+    return out.withColumn("relative", F.col("mean") / every)
+
+
+def layers_by_columns(layers: DataFrame, columns: DataFrame, n_columns: int, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """keys, axes, label: (layer - 1) * n_columns + column for voxels of both."""
+    j = layers.select(*keys, *axes, "layer").join(columns.select(*keys, *axes, "column"), [*keys, *axes])
+    return j.select(*keys, *axes, ((F.col("layer") - 1) * n_columns + F.col("column")).alias("label"))
+
+
+def radial_columns(voxels: DataFrame, centres: DataFrame, edges: Sequence[float], keys: Sequence[str] = ("tomo_id",)) -> DataFrame:
+    """voxels with column (from 1): the ring of their distance, in the plane, from their layer's centre (keys, layer, cx, cy); 0 outside."""
+    from quadrat.operators.tables import bins as bin_of
+
+    j = voxels.join(centres, [*keys, "layer"])
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    return j.withColumn("_r", F.sqrt(dx * dx + dy * dy)).withColumn("column", F.coalesce(bin_of(F.col("_r"), edges) + 1, F.lit(0)).cast("long")).drop("_r", "cx", "cy")
+
+
+def layer_centres(layers: DataFrame, keys: Sequence[str] = ("tomo_id",)) -> DataFrame:
+    """keys, layer, cx, cy: the voxel of each layer that is nearest to the mean of them, ties to the least."""
+    m = layers.groupBy(*keys, "layer").agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    d = (F.col("x") - F.col("_mx")) * (F.col("x") - F.col("_mx")) + (F.col("y") - F.col("_my")) * (F.col("y") - F.col("_my"))
+    best = layers.join(m, [*keys, "layer"]).groupBy(*keys, "layer").agg(F.min(F.struct(F.round(d, 9).alias("d"), "x", "y")).alias("_b"))
+    return best.select(*keys, "layer", F.col("_b.x").alias("cx"), F.col("_b.y").alias("cy"))
+
+
+def cleft_width(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ, most: float | None = None) -> DataFrame:
+    """keys, width (median), mean, n: distances of one boundary's voxels to the other, up to most."""
+    d = boundary_distances(a, b, keys, axes=axes)
+    d = d if most is None else d.where(F.col("dist") <= most)
+    return d.groupBy(*keys).agg(F.percentile("dist", 0.5).alias("width"), F.avg("dist").alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def randomised(voxels: DataFrame, keys: Sequence[str] = ("tomo_id",), seed: int = 0, axes: Sequence[str] = XYZ) -> DataFrame:
+    """Voxels of a mask with their values dealt anew among them: the k-th value by one hash goes to the k-th place by another."""
+    at = F.struct(*keys, *axes)
+    order = lambda s: [F.xxhash64(F.lit(seed), F.lit(s), at), *[F.col(c) for c in axes]]
+    place = voxels.select(*keys, *axes, F.row_number().over(W.partitionBy(*keys).orderBy(*order("place"))).alias("_k"))
+    value = voxels.select(*keys, "value", F.row_number().over(W.partitionBy(*keys).orderBy(*order("value"))).alias("_k"))
+    return place.join(value, [*keys, "_k"]).drop("_k")
+
+
+def geodesic(voxels: DataFrame, start: DataFrame, connectivity: int = 1, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """keys, axes, dist: steps within the voxels from the start voxels; those that are not reached have no row."""
+    from quadrat.operators.graphs import connectivity_distance
+
+    vid = lambda r: F.struct(*[F.col(f"{r}{c}").alias(c) for c in (*keys, *axes)])
+    e = neighbour_pairs(voxels, connectivity, keys, axes).select(vid("a.").alias("src"), vid("b.").alias("dst")).where("src < dst")
+    d = connectivity_distance(voxels.select(vid("").alias("vid")), e, mask_and(start, voxels, keys, axes).select(vid("").alias("vid")).distinct())
+    return d.where("steps >= 0").select("vid.*", F.col("steps").alias("dist"))
+
+
+def sampled_points(voxels: DataFrame, distance: float, keys: Sequence[str] = ("tomo_id", "label"), axes: Sequence[str] = XYZ) -> DataFrame:
+    """Voxels of each label no two of which are nearer than distance: greedy, by their coordinates."""
+    from quadrat.operators.suppression import suppressed
+
+    own = voxels.select(*keys, *axes, F.struct(*axes).alias("part_id"))
+    return suppressed(own, distance, list(keys), axes=axes).drop("part_id")
+
+
+def filled(voxels: DataFrame, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """keys, axes: the voxels and the holes that they enclose: empty voxels of their box that no path of faces leads out of."""
+    box = voxels.groupBy(*keys).agg(*[f(c).alias(f"{m}{c}") for c in axes for m, f in (("lo", F.min), ("hi", F.max))])
+    for c in axes:
+        box = box.withColumn(c, F.explode(F.sequence(F.col(f"lo{c}") - 1, F.col(f"hi{c}") + 1)))
+    empty = mask_minus(box, voxels, keys, axes)
+    rim = F.lit(False)
+    for c in axes:
+        rim = rim | (F.col(c) == F.col(f"lo{c}") - 1) | (F.col(c) == F.col(f"hi{c}") + 1)
+    out = geodesic(empty.select(*keys, *axes), empty.where(rim).select(*keys, *axes), 1, keys, axes)
+    return mask_minus(box.select(*keys, *axes), out, keys, axes)
+
+
+def homology(voxels: DataFrame, keys: Sequence[str] = ("label",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """keys, euler, objects (b0), loops (b1), holes (b2) of the voxels as closed cubes: cavities are counted in the complement, loops follow."""
+    own = voxels.select(*keys, *axes)
+    objects = labelled(own, len(axes), keys, axes).groupBy(*keys).agg(F.countDistinct("component").alias("objects"))
+    inner = mask_minus(filled(own, keys, axes), own, keys, axes)
+    holes = labelled(inner, 1, keys, axes).groupBy(*keys).agg(F.countDistinct("component").alias("holes"))
+    out = euler(own, keys, axes).join(objects, list(keys)).join(holes, list(keys), "left").withColumn("holes", F.coalesce("holes", F.lit(0)))
+    return out.select(*keys, "euler", "objects", (F.col("objects") + F.col("holes") - F.col("euler")).alias("loops"), "holes")
+
+
+# Shapes
+
+
+def balls(centres: DataFrame, shell: float | None = None, keys: Sequence[str] = ("tomo_id",)) -> DataFrame:
+    """keys, x, y, z, label: the voxels at most r from each centre (label, x, y, z, r); shell: of the outermost so many units only. A voxel of two is of the nearer centre, ties to the smaller label."""
+    c = centres.select(*keys, "label", "r", *[F.col(a).alias(f"_{a}") for a in XYZ])
+    for a in XYZ:
+        c = c.withColumn(a, F.explode(F.sequence(F.ceil(F.col(f"_{a}") - F.col("r")), F.floor(F.col(f"_{a}") + F.col("r")))))
+    d = F.sqrt(sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in XYZ), F.lit(0.0)))
+    v = c.withColumn("_d", d).where(F.col("_d") <= F.col("r"))
+    v = v if shell is None else v.where(F.col("_d") > F.col("r") - shell)
+    return v.groupBy(*keys, *XYZ).agg(F.min(F.struct("_d", "label")).alias("_m")).select(*keys, *XYZ, F.col("_m.label").alias("label"))
+
+
+def planes(grid: DataFrame, normal: Sequence[float], offset: float, thick: float = 1.0) -> DataFrame:
+    """Voxels of a grid within half the thickness of the plane normal * x = offset."""
+    n = sum(v * v for v in normal) ** 0.5
+    d = sum((F.col(c) * (v / n) for c, v in zip(XYZ, normal)), F.lit(0.0)) - offset / n
+    return grid.where((d >= -thick / 2) & (d < thick / 2))
+
+
+def discs_to_balls(discs: DataFrame, axis: str = "z", keys: Sequence[str] = ("tomo_id",)) -> DataFrame:
+    """keys, label, x, y, z, r: a ball for each label from its widest slice along an axis (ties to the lowest): that disc's centre, and the radius of its area."""
+    flat = [c for c in XYZ if c != axis]
+    s = discs.where("label > 0").groupBy(*keys, "label", axis).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in flat])
+    best = s.groupBy(*keys, "label").agg(F.min(F.struct((-F.col("_n")).alias("m"), axis, *flat)).alias("_b"))
+    return best.select(*keys, "label", *[F.col(f"_b.{c}").cast("double").alias(c) for c in XYZ], F.sqrt(-F.col("_b.m") / 3.141592653589793).alias("r"))
