@@ -14,7 +14,7 @@ from quadrat.functions import stats as S
 from quadrat.operators.components import components
 from quadrat.operators.inference import with_tail
 from quadrat.operators.points import XYZ, pairs_within
-from quadrat.storage import settling
+from quadrat.storage import settling, written
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -115,7 +115,13 @@ def dbscan(points: DataFrame, eps: float, least: int, keys: Sequence[str], id_co
     return points.select(*keys, F.col(id_col).alias("id")).join(nearest, own, "left").select(*own, F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
+MOST = 5000  # rows of a group that one task takes with an n x n matrix
+
+
 def _per_group(df: DataFrame, keys: Sequence[str], run, schema: str) -> DataFrame:
+    """run on each key's rows, at most MOST of them; raises otherwise."""
+    if not df.groupBy(*keys).count().where(F.col("count") > MOST).isEmpty():
+        raise ValueError(f"a group has more than {MOST} rows, which one task would hold as a matrix")
     head = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,70 +157,119 @@ def mean_shift(points: DataFrame, bandwidth: float, keys: Sequence[str], rounds:
     return _per_group(points, keys, run, "id long, cluster long")
 
 
+def exemplars(s: np.ndarray, preference: float | None = None, damping: float = 0.9, rounds: int = 400) -> np.ndarray:
+    """Each row's exemplar, by message passing on similarities s; preference (by default the median) goes on the diagonal. Ties to the smaller row."""
+    s = s.astype(float).copy()
+    n = len(s)
+    if n > 1:
+        np.fill_diagonal(s, np.median(s[~np.eye(n, dtype=bool)]) if preference is None else preference)
+    s -= np.arange(n)[None] * 1e-12 * max(1.0, np.abs(s).max())
+    r, a, at = np.zeros((n, n)), np.zeros((n, n)), np.arange(n)
+    for _ in range(rounds):
+        t = a + s
+        best = t.argmax(1)
+        first = t[at, best].copy()
+        t[at, best] = -np.inf
+        new = s - first[:, None]
+        new[at, best] = s[at, best] - (t.max(1) if n > 1 else 0)
+        r = damping * r + (1 - damping) * new
+        p = np.maximum(r, 0)
+        p[at, at] = r[at, at]
+        new = p.sum(0)[None] - p
+        own = new[at, at].copy()
+        new = np.minimum(new, 0)
+        new[at, at] = own
+        a = damping * a + (1 - damping) * new
+    centre = np.flatnonzero((a + r)[at, at] > 0)
+    centre = centre if len(centre) else np.array([int((a + r)[at, at].argmax())])
+    pick = centre[s[:, centre].argmax(1)]
+    pick[centre] = centre
+    return pick
+
+
 def affinity_propagation(points: DataFrame, keys: Sequence[str], preference: float | None = None, damping: float = 0.9, rounds: int = 400, id_col: str = "part_id", axes: Sequence[str] = XYZ) -> DataFrame:
-    """keys, id, exemplar: message passing on negative squared distances of each key's points (which fit a task); preference: by default the median."""
+    """keys, id, exemplar: message passing on negative squared distances of each key's points (MOST at most); preference: by default the median."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
         x, ids = pdf[list(axes)].to_numpy(float), pdf[id_col].to_numpy()
-        n = len(x)
-        s = -((x[:, None] - x[None]) ** 2).sum(2)
-        if n > 1:
-            np.fill_diagonal(s, np.median(s[~np.eye(n, dtype=bool)]) if preference is None else preference)
-        s -= np.arange(n)[None] * 1e-12 * max(1.0, np.abs(s).max())  # ties to the smaller id
-        r, a, at = np.zeros((n, n)), np.zeros((n, n)), np.arange(n)
-        for _ in range(rounds):
-            t = a + s
-            best = t.argmax(1)
-            first = t[at, best].copy()
-            t[at, best] = -np.inf
-            new = s - first[:, None]
-            new[at, best] = s[at, best] - (t.max(1) if n > 1 else 0)
-            r = damping * r + (1 - damping) * new
-            p = np.maximum(r, 0)
-            p[at, at] = r[at, at]
-            new = p.sum(0)[None] - p
-            own = new[at, at].copy()
-            new = np.minimum(new, 0)
-            new[at, at] = own
-            a = damping * a + (1 - damping) * new
-        centre = np.flatnonzero((a + r)[at, at] > 0)
-        centre = centre if len(centre) else np.array([int((a + r)[at, at].argmax())])
-        pick = centre[s[:, centre].argmax(1)]
-        pick[centre] = centre
-        return pd.DataFrame({"id": ids, "exemplar": ids[pick]})
+        return pd.DataFrame({"id": ids, "exemplar": ids[exemplars(-((x[:, None] - x[None]) ** 2).sum(2), preference, damping, rounds)]})
 
     return _per_group(points, keys, run, "id long, exemplar long")
 
 
-def agglomerative(points: DataFrame, keys: Sequence[str], cut: float, method: str = "average", id_col: str = "part_id", axes: Sequence[str] = XYZ) -> DataFrame:
-    """keys, id, cluster: hierarchical clustering (single, complete, average) of each key's points (which fit a task), cut at a distance."""
+@settling
+def affinity_by_subsets(points: DataFrame, keys: Sequence[str], subsets: int, preference: float | None = None, id_col: str = "part_id", axes: Sequence[str] = XYZ, seed: int = 0) -> DataFrame:
+    """keys, id, exemplar: affinity propagation in subsets (by hash), then among the subsets' exemplars, and each point to the
+    nearest of the last ones: for keys whose points are too many for one matrix."""
+    from quadrat.operators.points import knn
+
+    dealt = points.withColumn("_s", F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(subsets)))
+    first = affinity_propagation(dealt, [*keys, "_s"], preference, id_col=id_col, axes=axes).select(*keys, F.col("exemplar").alias(id_col)).distinct()
+    centres = points.join(written(first), [*keys, id_col], "left_semi")
+    last = written(affinity_propagation(centres, keys, preference, id_col=id_col, axes=axes).select(*keys, F.col("exemplar").alias(id_col)).distinct())
+    near = knn(points, points.join(last, [*keys, id_col], "left_semi"), 1, keys, id_col, id_col, axes)
+    return near.select(*keys, "id", F.col("other").alias("exemplar"))
+
+
+def _merges(x: np.ndarray, method: str) -> list[tuple[int, int, float]]:
+    """(kept, joined, height) of hierarchical clustering, n - 1 of them, by rows."""
+    n = len(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    size, out = np.ones(n), []
+    for _ in range(n - 1):
+        i, j = sorted(divmod(int(d.argmin()), n))
+        height = float(d[i, j])
+        a, b, k = size[i], size[j], size
+        with np.errstate(invalid="ignore"):
+            row = {
+                "single": lambda: np.minimum(d[i], d[j]),
+                "complete": lambda: np.maximum(d[i], d[j]),
+                "average": lambda: (a * d[i] + b * d[j]) / (a + b),
+                "ward": lambda: np.sqrt(np.maximum(((a + k) * d[i] ** 2 + (b + k) * d[j] ** 2 - k * height**2) / (a + b + k), 0)),
+            }[method]()
+        row[[i, j]] = np.inf
+        row[np.isinf(d[i]) | np.isinf(d[j])] = np.inf
+        d[i], d[:, i] = row, row
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        out.append((i, j, height))
+    return out
+
+
+def agglomerative(points: DataFrame, keys: Sequence[str], cut: float | None = None, method: str = "average", id_col: str = "part_id", axes: Sequence[str] = XYZ, n: int | None = None) -> DataFrame:
+    """keys, id, cluster: hierarchical clustering (single, complete, average, ward) of each key's points (MOST at most), cut at a distance or at n clusters."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
-        x, ids = pdf[list(axes)].to_numpy(float), pdf[id_col].to_numpy()
-        n = len(x)
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-        np.fill_diagonal(d, np.inf)
-        size, root = np.ones(n), np.arange(n)
-        while n > 1:
-            i, j = divmod(int(d.argmin()), len(d))
-            if d[i, j] > cut:
+        ids, root = pdf[id_col].to_numpy(), np.arange(len(pdf))
+        for k, (i, j, height) in enumerate(_merges(pdf[list(axes)].to_numpy(float), method)):
+            if (n is not None and len(pdf) - k <= n) or (cut is not None and height > cut):
                 break
-            i, j = min(i, j), max(i, j)
-            row = {"single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j]), "average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])}[method]
-            row[[i, j]] = np.inf
-            row[np.isinf(d[i]) | np.isinf(d[j])] = np.inf
-            d[i], d[:, i] = row, row
-            d[j], d[:, j] = np.inf, np.inf
-            size[i] += size[j]
             root[root == j] = i
-            n -= 1
         return pd.DataFrame({"id": ids, "cluster": ids[root]})
 
     return _per_group(points, keys, run, "id long, cluster long")
 
 
+def cophenetic(points: DataFrame, keys: Sequence[str], method: str = "average", id_col: str = "part_id", axes: Sequence[str] = XYZ) -> DataFrame:
+    """keys, n, correlation of the points' distances (MOST points at most) with the heights at which they come together; null below three points."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(id_col)[list(axes)].to_numpy(float)
+        root, height = np.arange(len(x)), np.zeros((len(x), len(x)))
+        for i, j, h in _merges(x, method):
+            a, b = np.flatnonzero(root == i), np.flatnonzero(root == j)
+            height[np.ix_(a, b)] = height[np.ix_(b, a)] = h
+            root[b] = i
+        up = np.triu_indices(len(x), 1)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        return pd.DataFrame({"n": [len(x)], "correlation": [float(np.corrcoef(d[up], height[up])[0, 1]) if len(x) > 2 else None]})
+
+    return _per_group(points, keys, run, "n long, correlation double")
+
+
 def kmeans(vectors: DataFrame, k: int, column: str = "features", seed: int = 1) -> DataFrame:
     """vectors with prediction (MLlib, seeded). column: array<double>."""
     from pyspark.ml.clustering import KMeans

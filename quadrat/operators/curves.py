@@ -121,3 +121,40 @@ def straightened(curves: DataFrame, key: str = "curve_id", seq: str = "seq") ->
     total = F.max("s").over(W.partitionBy(key))
     share = F.col("s") / F.nullif(total, F.lit(0.0))
     return a.withColumn("_f", F.coalesce(share, F.lit(0.0))).join(ends, key).select([(F.col(f"_a.{c}") + F.col("_f") * (F.col(f"_b.{c}") - F.col(f"_a.{c}"))).alias(c) if c in XYZ else F.col(c) for c in curves.columns])
+
+
+def turned(curves: DataFrame, matrix: Sequence[float], key: str = "curve_id", seq: str = "seq") -> DataFrame:
+    """Curves turned by a matrix (nine numbers) about their first points."""
+    first = curves.groupBy(key).agg(F.min_by(F.struct(*XYZ), seq).alias("_f"))
+    off = [F.col(c) - F.col(f"_f.{c}") for c in XYZ]
+    new = {c: F.col(f"_f.{c}") + sum((matrix[3 * i + k] * off[k] for k in range(3)), F.lit(0.0)) for i, c in enumerate(XYZ)}
+    return curves.join(first, key).withColumns(new).select(curves.columns)
+
+
+def line_points(lines: DataFrame, step: float, id_col: str = "id") -> DataFrame:
+    """id, k, x, y, z: points every step from a to b (structs), both ends included."""
+    d = _norm([F.col(f"b.{c}") - F.col(f"a.{c}") for c in XYZ])
+    n = F.ceil(d / step)
+    k = lines.withColumn("_n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))))
+    t = F.when(F.col("k") == F.col("_n"), F.when(F.col("_n") == 0, 0.0).otherwise(1.0)).otherwise(F.col("k") * step / F.nullif(d, F.lit(0.0)))
+    return k.withColumn("_t", t).select(id_col, "k", *[(F.col(f"a.{c}") + F.col("_t") * (F.col(f"b.{c}") - F.col(f"a.{c}"))).alias(c) for c in XYZ])
+
+
+def as_polylines(curves: DataFrame, key: str = "curve_id", seq: str = "seq") -> DataFrame:
+    """key, points: an array of structs in order."""
+    return curves.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("_k"), F.struct(*XYZ).alias("p")))), lambda r: r["p"]).alias("points"))
+
+
+def as_points(lines: DataFrame, key: str = "curve_id", seq: str = "seq") -> DataFrame:
+    return lines.select(key, F.posexplode("points").alias(seq, "_p")).select(key, seq, "_p.*")
+
+
+def frame_symmetry(curves: DataFrame, key: str = "curve_id", seq: str = "seq") -> DataFrame:
+    """key, normal_symmetry, binormal_symmetry: length of the mean unit normal (binormal) along the curve: 1 if it never turns."""
+    d = derivatives(curves, key, seq)
+    a, b = [[F.col(n)[k] for k in range(3)] for n in ("d1", "d2")]
+    bi = _cross(a, b)
+    no = _cross(bi, a)
+    unit = lambda v: [c / F.nullif(_norm(v), F.lit(0.0)) for c in v]
+    mean = lambda v: _norm([F.avg(c) for c in unit(v)])
+    return d.where("d2 IS NOT NULL").groupBy(key).agg(mean(no).alias("normal_symmetry"), mean(bi).alias("binormal_symmetry"))

@@ -71,14 +71,14 @@ def subgraph_ids(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 @settling
-def bounded_distances(edges: DataFrame, sources: DataFrame, limit: float, strict: bool = True) -> DataFrame:
-    """source, vid, dist: shortest paths from each source (vid) that stay below (or at) limit; the source itself at 0.
+def bounded_distances(edges: DataFrame, sources: DataFrame, limit: float, strict: bool = True, merged: bool = False) -> DataFrame:
+    """source, vid, dist: shortest paths from each source (vid) that stay below (or at) limit; the source itself at 0. merged: from the nearest of all (source 0).
 
     Rounds of relaxation from what the round before has improved; every round is written, so lineage stays short.
     """
     inside = (lambda c: c < limit) if strict else (lambda c: c <= limit)
     e = written(both_ways(edges).where(inside(F.col("length"))).groupBy("src", "dst").agg(F.min("length").alias("length")))
-    best = written(sources.select(F.col("vid").alias("source"), "vid", F.lit(0.0).alias("dist")))
+    best = written(sources.select(F.lit(0).alias("source") if merged else F.col("vid").alias("source"), "vid", F.lit(0.0).alias("dist")).distinct())
     front = best
     while True:
         step = front.join(e, front["vid"] == e["src"]).select("source", F.col("dst").alias("vid"), (F.col("dist") + F.col("length")).alias("dist"))
@@ -220,6 +220,16 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
         label = written(label.join(root, "c", "left").select("vid", F.coalesce("root", "c").alias("c")))
 
 
+MOST = 20_000  # edges of a graph that one task takes
+
+
+def _bounded(edges: DataFrame, key: str) -> DataFrame:
+    """edges, if no graph has more than MOST of them; raises otherwise."""
+    if not edges.groupBy(key).count().where(F.col("count") > MOST).isEmpty():
+        raise ValueError(f"a graph has more than {MOST} edges, which one task would hold")
+    return edges
+
+
 def _adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
     ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
     at = {v: k for k, v in enumerate(ids)}
@@ -263,7 +273,7 @@ def betweenness(edges: DataFrame, key: str = "graph_id") -> DataFrame:
         return pd.DataFrame({key: pdf[key].iloc[0], "vid": ids, "betweenness": total / 2})
 
     kind = edges.schema[key].dataType.simpleString()
-    return edges.groupBy(key).applyInPandas(run, f"{key} {kind}, vid {edges.schema['src'].dataType.simpleString()}, betweenness double")
+    return _bounded(edges, key).groupBy(key).applyInPandas(run, f"{key} {kind}, vid {edges.schema['src'].dataType.simpleString()}, betweenness double")
 
 
 @settling
@@ -326,7 +336,7 @@ def max_flow(edges: DataFrame, source: int, sink: int, key: str = "graph_id") ->
             flow += step
         return pd.DataFrame({key: [pdf[key].iloc[0]], "flow": [flow]})
 
-    return edges.groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, flow double")
+    return _bounded(edges, key).groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, flow double")
 
 
 @settling
@@ -372,3 +382,172 @@ def redundancy(paths: DataFrame, path: str, member: str) -> DataFrame:
 
 def vertex_by_filament(paths: DataFrame, path: str, value: str, how: str = "max") -> DataFrame:
     return paths.select(F.explode(path).alias("vid"), value).groupBy("vid").agg(getattr(F, how)(value).alias(value))
+
+
+def from_cells(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """src, dst, length: the edges of polyline cells (points: ids in order) between the points (vid, x, y, z), each once."""
+    two = cells.where(F.size("points") > 1)
+    steps = two.select(F.explode(F.arrays_zip(F.slice("points", F.lit(1), F.size("points") - 1).alias("a"), F.slice("points", F.lit(2), F.size("points") - 1).alias("b"))).alias("s")).select("s.a", "s.b")
+    at = lambda end: points.select(F.col("vid").alias(end), F.struct("x", "y", "z").alias(f"_{end}"))
+    steps = steps.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().join(at("a"), "a").join(at("b"), "b")
+    d = F.sqrt(sum(((F.col(f"_a.{c}") - F.col(f"_b.{c}")) * (F.col(f"_a.{c}") - F.col(f"_b.{c}")) for c in "xyz"), F.lit(0.0)))
+    return steps.select(F.col("a").alias("src"), F.col("b").alias("dst"), d.alias("length"))
+
+
+def extension(vertices: DataFrame, edges: DataFrame, column: str, op: str, value, limit: float) -> DataFrame:
+    """vid, dist: the core, where the comparison holds (0), and all vertices at most limit along edges away from it."""
+    core = vertices.where(compare(F.col(column), op, value)).select("vid")
+    return bounded_distances(edges, core, limit, strict=False, merged=True).select("vid", "dist")
+
+
+@settling
+def propagated(edges: DataFrame, start: DataFrame, step, most: int = 1 << 30) -> DataFrame:
+    """vid, state: a visitor. Each round sends step(state, edge length) (null: nothing) from the vertices that changed to their
+    neighbours, and a vertex keeps the least state that it has seen; it ends when none changes. States are orderable."""
+    e = written(both_ways(edges).select("src", "dst", "length"))
+    best = front = written(start.select("vid", "state"))
+    for _ in range(most):
+        sent = front.join(e, front["vid"] == e["src"]).select(F.col("dst").alias("vid"), step(F.col("state"), F.col("length")).alias("state")).where("state IS NOT NULL")
+        new = sent.groupBy("vid").agg(F.min("state").alias("_n")).join(best, "vid", "left").where(F.col("state").isNull() | (F.col("_n") < F.col("state")))
+        front = written(new.select("vid", F.col("_n").alias("state")))
+        if front.isEmpty():
+            break
+        best = written(best.unionByName(front).groupBy("vid").agg(F.min("state").alias("state")))
+    return best
+
+
+def grown(edges: DataFrame, seeds: DataFrame, limit: float) -> DataFrame:
+    """vid, label, dist: each vertex with its nearest seed's label (vid, label), at most limit away; ties to the least label."""
+
+    def step(state: Column, length: Column) -> Column:
+        d = state["dist"] + length
+        return F.when(d <= limit, F.struct(d.alias("dist"), state["label"].alias("label")))
+
+    start = seeds.select("vid", F.struct(F.lit(0.0).alias("dist"), "label").alias("state"))
+    return propagated(edges, start, step).select("vid", "state.label", "state.dist")
+
+
+def affinity(vertices: DataFrame, edges: DataFrame, vertex_weight: str, edge_weight: str, vertex_inverted: bool = False, edge_inverted: bool = True) -> DataFrame:
+    """src, dst, affinity: an edge's weight, scaled to 0 .. 1 and inverted if asked, times the mean of its ends' weights, scaled likewise."""
+
+    def scaled(df: DataFrame, c: str, inverted: bool) -> tuple[DataFrame, Column]:
+        r = df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
+        own = (F.col(c) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+        own = F.coalesce(own, F.lit(1.0))
+        return df.join(F.broadcast(r), F.lit(True)), 1 - own if inverted else own
+
+    v, w = scaled(vertices, vertex_weight, vertex_inverted)
+    v = v.select("vid", w.alias("_v"))
+    e, w = scaled(edges, edge_weight, edge_inverted)
+    e = e.select("src", "dst", w.alias("_e"))
+    ends = e.join(v.withColumnsRenamed({"vid": "src", "_v": "_a"}), "src").join(v.withColumnsRenamed({"vid": "dst", "_v": "_b"}), "dst")
+    return ends.select("src", "dst", (F.col("_e") * (F.col("_a") + F.col("_b")) / 2).alias("affinity"))
+
+
+@settling
+def annealed_communities(vertices: DataFrame, edges: DataFrame, rounds: int = 30, hot: float = 1.0, cold: float = 0.01, seed: int = 0) -> DataFrame:
+    """vid, community by simulated annealing: in turns (half of the vertices, by hash), a vertex draws its label with chances
+    exp(weight of the edges to that label / temperature), and the temperature falls by one factor a round; the last rounds
+    take the best. lengths are weights; draws are hashes, so reruns agree."""
+    from quadrat.operators.simulate import unit
+
+    e = written(both_ways(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("length").alias("length"))))
+    scale = e.agg(F.avg("length")).first()[0] or 1.0
+    label = written(vertices.select("vid", F.col("vid").alias("community")))
+    for r in range(rounds):
+        t = hot * scale * (cold / hot) ** (r / max(1, rounds - 1))
+        votes = e.join(label, e["dst"] == label["vid"]).groupBy("src", "community").agg(F.sum("length").alias("w"))
+        noise = -F.log(-F.log(F.greatest(unit(seed, F.lit(r), "src", "community"), F.lit(1e-300)))) * (t if r < rounds - 2 else 0.0)
+        best = votes.groupBy("src").agg(F.min(F.struct((-(F.col("w") + noise)).alias("s"), "community")).alias("b")).select(F.col("src").alias("_v"), F.col("b.community").alias("_c"))
+        turn = F.xxhash64(F.lit(r // 2), "vid").bitwiseAND(F.lit(1)) == r % 2
+        last, label = label, written(label.join(best, F.col("vid") == F.col("_v"), "left").select("vid", F.when(turn, F.coalesce("_c", "community")).otherwise(F.col("community")).alias("community")))
+        discard(last)
+    return label
+
+
+def modular_communities(edges: DataFrame, n: int | None = None, key: str = "graph_id") -> DataFrame:
+    """graph, vid, community (least vid) of graphs that fit a task: the pair of communities whose union adds most modularity is
+    joined, while that is positive (or until n are left): the cut of the dendrogram."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, near = _adjacency(pdf)
+        total = 2 * pdf["length"].sum()
+        links = [{} for _ in ids]
+        for a, row in enumerate(near):
+            for b, w in row:
+                if a != b:
+                    links[a][b] = links[a].get(b, 0.0) + w / total
+        strength, root = [sum(x.values()) for x in links], list(range(len(ids)))
+        alive = set(root)
+        while len(alive) > (n or 1):
+            best = max(((w - strength[a] * strength[b], -a, -b) for a in alive for b, w in links[a].items() if a < b), default=None)
+            if best is None or (n is None and best[0] <= 0):
+                break
+            a, b = -best[1], -best[2]
+            for c, w in links[b].items():
+                del links[c][b]
+                if c != a:
+                    links[a][c] = links[c][a] = links[a].get(c, 0.0) + w
+            strength[a] += strength[b]
+            alive.discard(b)
+            root = [a if x == b else x for x in root]
+        return pd.DataFrame({key: pdf[key].iloc[0], "vid": ids, "community": ids[root]})
+
+    kind, vid = edges.schema[key].dataType.simpleString(), edges.schema["src"].dataType.simpleString()
+    return _bounded(edges, key).groupBy(key).applyInPandas(run, f"{key} {kind}, vid {vid}, community {vid}")
+
+
+def spectral(edges: DataFrame, n: int, key: str = "graph_id", seed: int = 0) -> DataFrame:
+    """graph, vid, cluster (from 0) of graphs that fit a task: k-means on the normalised Laplacian's first n vectors."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, near = _adjacency(pdf)
+        a = np.zeros((len(ids), len(ids)))
+        for i, row in enumerate(near):
+            for j, w in row:
+                a[i, j] = max(a[i, j], w)
+        d = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12))
+        _, vectors = np.linalg.eigh(np.eye(len(ids)) - d[:, None] * a * d)
+        x = vectors[:, :n]
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        centre = [0]
+        for _ in range(n - 1):  # the farthest from all so far
+            centre.append(int(((x[:, None] - x[centre]) ** 2).sum(2).min(1).argmax()))
+        c = x[centre]
+        for _ in range(100):
+            own = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+            c = np.array([x[own == k].mean(0) if (own == k).any() else c[k] for k in range(n)])
+        return pd.DataFrame({key: pdf[key].iloc[0], "vid": ids, "cluster": own.astype(np.int64)})
+
+    kind, vid = edges.schema[key].dataType.simpleString(), edges.schema["src"].dataType.simpleString()
+    return _bounded(edges, key).groupBy(key).applyInPandas(run, f"{key} {kind}, vid {vid}, cluster long")
+
+
+def geodesic_clusters(edges: DataFrame, members: DataFrame, limit: float, preference: float) -> DataFrame:
+    """vid, exemplar: the members (vid; 2,000 at most, which is checked) by affinity propagation on negated graph distances up to limit."""
+    from quadrat.operators.clusters import exemplars
+
+    if members.limit(2001).count() > 2000:
+        raise ValueError("more than 2,000 members")
+    d = bounded_distances(edges, members, limit, strict=False).join(members, "vid", "left_semi").select("source", "vid", "dist")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(pdf["source"])
+        s = np.full((len(ids), len(ids)), -2.0 * limit)
+        s[np.searchsorted(ids, pdf["source"]), np.searchsorted(ids, pdf["vid"])] = -pdf["dist"]
+        return pd.DataFrame({"vid": ids, "exemplar": ids[exemplars(s, preference)]})
+
+    vid = members.schema["vid"].dataType.simpleString()
+    return d.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, f"vid {vid}, exemplar {vid}")
+
+
+def slice_threshold(vertices: DataFrame, ids: DataFrame, column: str, op: str, value) -> DataFrame:
+    """Vertices of a slice (vid) for which the comparison holds."""
+    return vertices.join(ids.select("vid"), "vid", "left_semi").where(compare(F.col(column), op, value))
+
+
+def protected(edges: DataFrame, vertices: DataFrame, dist: str, limit: float, column: str, value) -> DataFrame:
+    """edges with a column set to value where both ends are at most limit from the membrane (dist, a column of vertices)."""
+    near = vertices.where(F.col(dist) <= limit).select("vid")
+    e = edges.join(near.select(F.col("vid").alias("src"), F.lit(True).alias("_a")), "src", "left").join(near.select(F.col("vid").alias("dst"), F.lit(True).alias("_b")), "dst", "left")
+    return e.withColumn(column, F.when(F.col("_a") & F.col("_b"), F.lit(value)).otherwise(F.col(column))).select(edges.columns)

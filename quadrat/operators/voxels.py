@@ -388,3 +388,29 @@ def discs_to_balls(discs: DataFrame, axis: str = "z", keys: Sequence[str] = ("to
     s = discs.where("label > 0").groupBy(*keys, "label", axis).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in flat])
     best = s.groupBy(*keys, "label").agg(F.min(F.struct((-F.col("_n")).alias("m"), axis, *flat)).alias("_b"))
     return best.select(*keys, "label", *[F.col(f"_b.{c}").cast("double").alias(c) for c in XYZ], F.sqrt(-F.col("_b.m") / 3.141592653589793).alias("r"))
+
+
+# Segmentation by contacts
+
+
+def segments_by_contact(voxels: DataFrame, boundaries: DataFrame, ids: Sequence[int], mode: str = "at_least", connectivity: int = 1, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """voxels (of one threshold) with component, only of the components that touch the boundaries (labels) exactly, at_least all of them, or at_most them."""
+    own = labelled(voxels.select(*keys, *axes), connectivity, keys, axes)
+    touch = neighbour_pairs(own.withColumns({"_k": F.lit(0), "label": F.lit(0)}).select(*keys, *axes, "component", "_k", "label").unionByName(boundaries.where("label > 0").select(*keys, *axes, F.lit(None).cast(own.schema["component"].dataType).alias("component"), F.lit(1).alias("_k"), F.col("label").cast("int").alias("label"))), connectivity, keys, axes)
+    pairs = touch.where("a._k = 0 AND b._k = 1").select(*keys, F.struct(F.col("a.component").alias("c")).alias("segment_id"), F.col("b.label").alias("boundary_id")).distinct()
+    from quadrat.operators.contacts import segments_by_boundaries
+
+    kept = segments_by_boundaries(pairs, ids, mode).select(F.col("segment_id.c").alias("component"))
+    return own.join(kept, "component", "left_semi")
+
+
+def analysis(voxels: DataFrame, thresholds: Sequence[float], least: int = 1, connectivity: int = 1, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """threshold, keys, component, volume, surface, mean, std: the segments (least voxels or more) of value <= threshold, by threshold."""
+    out = None
+    for t in thresholds:
+        own = labelled(voxels.where(F.col("value") <= t), connectivity, keys, axes).withColumn("label", F.col("component"))
+        m = morphology(own, [*keys, "label"], axes).select(*keys, "label", "volume", "surface").where(F.col("volume") >= least)
+        s = own.groupBy(*keys, "label").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+        one = m.join(s, [*keys, "label"]).select(F.lit(float(t)).alias("threshold"), *keys, F.col("label").alias("component"), "volume", "surface", "mean", "std")
+        out = one if out is None else out.unionByName(one)
+    return out

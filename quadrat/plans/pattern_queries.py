@@ -203,7 +203,7 @@ def overlapping_balls(spark, d):
 @query(f"WITH {P} SELECT list_id, tomo_id, round(avg(x), 6) AS cx, round(var_pop(x), 5) AS xx, round(covar_pop(x, y), 5) AS xy, round(covar_pop(y, z), 5) AS yz FROM p GROUP BY ALL")
 def point_moments(spark, d):
     m = regions.moments(particles(spark, d), KEYS)
-    return rounded(m.select(*KEYS, "cx", "xx", "xy", "yz"), 5).withColumn("cx", F.round("cx", 6))
+    return m.select(*KEYS, F.round("cx", 6).alias("cx"), *[F.round(c, 5).alias(c) for c in ("xx", "xy", "yz")])
 
 
 @query(f"WITH {P} SELECT a.tomo_id, a.list_id AS a, b.list_id AS b, round(min({DIST}), 6) AS dist FROM p a JOIN p b ON a.tomo_id = b.tomo_id AND a.list_id < b.list_id GROUP BY ALL HAVING min({DIST}) <= 6")

@@ -1135,4 +1135,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Further queries register themselves with the names above.
-from quadrat.plans import pattern_queries, segment_queries, table_queries  # noqa: E402, F401
+from quadrat.plans import graph_queries, pattern_queries, segment_queries, table_queries  # noqa: E402, F401

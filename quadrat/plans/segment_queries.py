@@ -54,11 +54,11 @@ def contact_dual_clusters(spark, d):
     return contacts.dual_clusters(supplier_contacts(spark, d), thirds(spark, d))
 
 
-@query("SELECT s_suppkey AS boundary_id, count(l_orderkey) AS n_connections, round(coalesce(avg(o_totalprice), -1), 4) AS mean_length FROM supplier LEFT JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_suppkey = s_suppkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+@query("SELECT s_suppkey AS boundary_id, count(l_orderkey) AS n_connections, round(coalesce(avg(o_totalprice), -1), 2) AS mean_length FROM supplier LEFT JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_suppkey = s_suppkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def contact_features(spark, d):
     ends = table(spark, d, "supplier").select(F.col("s_suppkey").alias("boundary_id"))
     lengths = table(spark, d, "orders").select(F.col("o_orderkey").alias("segment_id"), F.col("o_totalprice").alias("length"))
-    return rounded(contacts.connection_features(ends, supplier_contacts(spark, d), lengths), 4)
+    return rounded(contacts.connection_features(ends, supplier_contacts(spark, d), lengths), 2)
 
 
 @query("WITH e AS (SELECT l_suppkey AS a, l_partkey + 1000000 AS b, min(l_extendedprice) AS dist FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY ALL) SELECT s_suppkey AS id, coalesce(arg_min(b, struct_pack(d := dist, k := b)), -1) AS nearest, round(min(dist), 4) AS dist FROM supplier LEFT JOIN e ON a = s_suppkey GROUP BY 1")

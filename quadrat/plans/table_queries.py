@@ -126,11 +126,11 @@ def table_keep_in_list(spark, d):
     return tables.keep_in(parts(spark, d), names, "row_id").select("row_id")
 
 
-@query("SELECT p_partkey AS row_id FROM part JOIN (SELECT p_brand, avg(p_retailprice) AS m FROM part GROUP BY 1) USING (p_brand) WHERE p_retailprice / m >= 1.1")
+@query("SELECT p_partkey AS row_id FROM part JOIN (SELECT p_brand, avg(p_retailprice) AS m FROM part GROUP BY 1) USING (p_brand) WHERE p_retailprice / m >= 1.02")
 def table_purge_low_correlation(spark, d):
     t = parts(spark, d)
     ref = t.groupBy("brand").agg(F.avg("price").alias("m"))
-    return tables.purge_low_correlation(t, ref, "brand", F.col("price") / F.col("m"), 1.1).select("row_id")
+    return tables.purge_low_correlation(t, ref, "brand", F.col("price") / F.col("m"), 1.02).select("row_id")
 
 
 @query(f"WITH {P} SELECT part_id FROM p WHERE x BETWEEN -5 AND 10 AND y BETWEEN -8 AND 8 AND z BETWEEN -20 AND 4")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 import struct
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -229,3 +230,116 @@ def catalogs(spark: SparkSession, path: str) -> DataFrame:
 
 def stored_by_tomogram(df: DataFrame, path: str) -> None:
     df.write.partitionBy("tomo_id").parquet(path)
+
+
+# VTK images and converters
+
+
+def vti_text(v: np.ndarray, origin: tuple[float, float, float] = (0, 0, 0), spacing: tuple[float, float, float] = (1, 1, 1)) -> str:
+    """A volume (x, y, z) as VTK XML image with ASCII scalars, x fastest."""
+    extent = " ".join(f"0 {n - 1}" for n in v.shape)
+    values = " ".join(map(repr, v.ravel(order="F").astype(float).tolist()))
+    place = f'WholeExtent="{extent}" Origin="{" ".join(map(str, origin))}" Spacing="{" ".join(map(str, spacing))}"'
+    return f'<?xml version="1.0"?>\n<VTKFile type="ImageData" version="0.1"><ImageData {place}><Piece Extent="{extent}"><PointData Scalars="value"><DataArray type="Float64" Name="value" format="ascii">{values}</DataArray></PointData></Piece></ImageData></VTKFile>\n'
+
+
+def decode_vti(text: str) -> np.ndarray:
+    e = ET.fromstring(text.encode()).find("ImageData")
+    ends = list(map(int, e.get("WholeExtent").split()))
+    shape = [b - a + 1 for a, b in zip(ends[::2], ends[1::2])]
+    return np.array(e.find("Piece/PointData/DataArray").text.split(), float).reshape(shape, order="F")
+
+
+def vtk_images(spark: SparkSession, path: str) -> DataFrame:
+    """file, x, y, z, value of VTK XML images with ASCII scalars."""
+
+    def parse(file: str, text: str) -> Iterator[tuple]:
+        v = decode_vti(text)
+        for at in np.ndindex(v.shape):
+            yield file, *at, float(v[at])
+
+    return _per_file(spark, path, parse, "file string, x long, y long, z long, value double")
+
+
+def polydata_text(points: list[tuple[float, float, float]], cells: list[list[int]], kind: str = "Polys") -> str:
+    """Points and cells as VTK XML polydata with ASCII arrays."""
+    ends = np.cumsum([len(c) for c in cells]).tolist()
+    array = lambda kind, name, values: f'<DataArray type="{kind}"{name} format="ascii">{" ".join(map(str, values))}</DataArray>'
+    flat = array("Float64", ' NumberOfComponents="3"', [repr(float(x)) for p in points for x in p])
+    own = array("Int64", ' Name="connectivity"', [i for c in cells for i in c]) + array("Int64", ' Name="offsets"', ends)
+    return f'<?xml version="1.0"?>\n<VTKFile type="PolyData" version="0.1"><PolyData><Piece NumberOfPoints="{len(points)}" Number{"Of" + kind}="{len(cells)}"><Points>{flat}</Points><{kind}>{own}</{kind}></Piece></PolyData></VTKFile>\n'
+
+
+def write_polydata(rows: DataFrame, path: str) -> None:
+    """Rows of polydata() as VTK files, one for each file name; a surface fits a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, c = pdf[pdf.kind == "point"].sort_values("id"), pdf[pdf.kind == "cell"].sort_values("id")
+        return pd.DataFrame({"value": [polydata_text(list(zip(p.x, p.y, p.z)), [list(map(int, x)) for x in c.points])]})
+
+    rows.groupBy("file").applyInPandas(run, "value string").write.option("lineSep", "\n\n").text(path)
+
+
+def converted(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """file, content: volumes (MRC, EM or VTK images) in another format, mrc or vti; store the rows with any sink."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for f, data in zip(b["path"], b["content"]):
+                v = decode_vti(data.decode()) if f.endswith(".vti") else decode_volume(f, data)
+                out.append((f.rsplit(".", 1)[0] + f".{to}", encode_mrc(v.astype("f4")) if to == "mrc" else vti_text(v).encode()))
+            yield pd.DataFrame(out, columns=["file", "content"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, content binary")
+
+
+# Domain tables
+
+#: First columns of the domain's results tables.
+DOMAINS = {
+    "vesicles": ["id", "mean", "std", "min", "max", "radius", "distance"],
+    "connections": ["id", "mean", "std", "min", "max", "volume", "surface", "length", "distance"],
+    "layers": ["id", "mean", "std", "min", "max", "volume"],
+    "clusters": ["id", "n_items", "n_connections", "n_links", "loops"],
+    "cleft": ["id", "mean", "std", "min", "max", "volume", "width"],
+}
+
+
+def domain_table(spark: SparkSession, path: str, domain: str) -> DataFrame:
+    """identifier (the file's name) and the columns of a domain's results tables; further columns are left out."""
+    names = DOMAINS[domain]
+
+    def parse(file: str, text: str) -> Iterator[tuple]:
+        who = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        for line in text.splitlines():
+            parts = line.split()
+            if parts and not line.lstrip().startswith("#"):
+                num = [float(x) if re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", x) else None for x in parts[: len(names)]]
+                if num[0] is not None:
+                    yield who, int(num[0]), *num[1:], *[None] * (len(names) - len(num))
+
+    return _per_file(spark, path, parse, "identifier string, id long, " + ", ".join(f"{n} double" for n in names[1:]))
+
+
+def experiments(spark: SparkSession, catalogs: DataFrame, entry: str, domain: str) -> DataFrame:
+    """group, identifier and the domain's columns: the tables that the catalogs name under an entry (a file each), with their category."""
+    listed = catalogs.select("identifier", F.col("values")[entry].alias("_path"), F.col("values")["category"].alias("group")).where("_path IS NOT NULL")
+    paths = [r["_path"] for r in listed.select("_path").distinct().limit(100_001).collect()]
+    if len(paths) > 100_000:
+        raise ValueError("more than 100,000 tables")
+    rows = domain_table(spark, paths, domain).withColumnRenamed("identifier", "_name")
+    name = F.element_at(F.split(F.element_at(F.split("_path", "/"), -1), r"\.(?=[^.]*$)"), 1)
+    return rows.join(listed.withColumn("_name", name), "_name").drop("_name", "_path")
+
+
+def frame_shifts(spark: SparkSession, path: str) -> DataFrame:
+    """file, frame, dx, dy: frame alignment logs with a line of shifts for each axis, or two numbers a line."""
+
+    def parse(file: str, text: str) -> Iterator[tuple]:
+        rows = [[float(x) for x in line.split()] for line in text.splitlines() if line.strip() and not line.lstrip().startswith("#")]
+        pairs = list(zip(*rows)) if len(rows) == 2 and len(rows[0]) != 2 else rows
+        for k, p in enumerate(pairs):
+            yield file, k, float(p[0]), float(p[1])
+
+    return _per_file(spark, path, parse, "file string, frame long, dx double, dy double")
