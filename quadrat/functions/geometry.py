@@ -38,7 +38,7 @@ def angles_zyz(m: Column) -> Column:
     tilt = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), g(8)))))
     flat = F.abs(g(8)) > 1 - 1e-12
     rot = F.when(flat, 0.0).otherwise(F.degrees(F.atan2(g(7), g(6))))
-    psi = F.when(flat, F.degrees(F.atan2(g(1), g(0))) * F.signum(g(8))).otherwise(F.degrees(F.atan2(g(5), -g(2))))
+    psi = F.when(flat, F.degrees(F.atan2(g(1), F.when(g(8) < 0, -g(0)).otherwise(g(0))))).otherwise(F.degrees(F.atan2(g(5), -g(2))))
     return F.struct(rot.alias("rot"), tilt.alias("tilt"), psi.alias("psi"))
 
 
