@@ -304,3 +304,15 @@ def assign_exemplars(vectors: DataFrame, exemplars: DataFrame, id_col: str, colu
     table = e.agg(F.array_sort(F.collect_list(F.struct("exemplar", "_e"))).alias("_t"))
     scored = vectors.join(F.broadcast(table), F.lit(True)).select(F.col(id_col).alias("id"), F.transform("_t", lambda t: F.struct((-normalised_dot(F.col(column), t["_e"])).alias("s"), t["exemplar"].alias("e"))).alias("_s"))
     return scored.select("id", F.array_min("_s").alias("_b")).select("id", F.col("_b.e").alias("exemplar"), (-F.col("_b.s")).alias("ncc"))
+
+
+def class_averages(vectors: DataFrame, klass: str, column: str = "features") -> DataFrame:
+    """class, n, average: the mean of each element over the class's vectors."""
+    e = vectors.select(klass, F.posexplode(column).alias("_k", "_v")).groupBy(klass, "_k").agg(F.avg("_v").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    return e.groupBy(klass).agg(F.max("_n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_k", "_m"))), lambda r: r["_m"]).alias("average"))
+
+
+def exemplar_statistics(vectors: DataFrame, klass: str, exemplars: DataFrame, column: str = "features", p: float = 5.0) -> DataFrame:
+    """class, n, mean, std, low (the p-th percentile): correlations of each class's vectors with its exemplar (class, exemplar)."""
+    c = vectors.join(exemplars.select(klass, F.col("exemplar").alias("_e")), klass).withColumn("_c", normalised_dot(F.col(column), F.col("_e")))
+    return c.groupBy(klass).agg(F.count(F.lit(1)).alias("n"), F.avg("_c").alias("mean"), F.stddev_samp("_c").alias("std"), F.percentile("_c", p / 100).alias("low"))

@@ -167,3 +167,9 @@ def far_apart(points: DataFrame, limit: float, keys: Sequence[str], id_col: str
     a, b = p.withColumnRenamed("p", "a"), p.withColumnRenamed("p", "b")
     d = F.sqrt(sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in XYZ), F.lit(0.0)))
     return a.join(b, [*keys, id_col]).groupBy(*keys, id_col).agg(F.max(d).alias("_d"), F.count(F.lit(1)).alias("_n")).where((F.col("_d") <= limit) & (F.col("_n") > 1)).select(*keys, id_col)
+
+
+def multi_cluster(contacts: DataFrame) -> DataFrame:
+    """segment_id, boundary_id, cluster and its topology (see cluster_topology): the connectivity analysis as one table, a row for each contact."""
+    c = boundary_clusters(contacts)
+    return contacts.select("segment_id", "boundary_id").distinct().join(c, "boundary_id").join(cluster_topology(contacts, c), "cluster")

@@ -138,3 +138,20 @@ def membranes(blocks: DataFrame, size: int, halo: int, sigma: float = 1.5, vote:
         return non_maximum(s, n)
 
     return filtered(blocks, detect, size, halo, keep=least)
+
+
+def homogenised(v: np.ndarray, cut_at: float, whole: bool = True) -> np.ndarray:
+    """Density of a stack of points, smoothed by a low pass of order 5: in space, or each slice along z by itself."""
+    return butterworth(v, cut_at, 5) if whole else np.concatenate([butterworth(v[:, :, z : z + 1], cut_at, 5) for z in range(v.shape[2])], 2)
+
+
+def blobs(v: np.ndarray, sigma: float, least: float) -> np.ndarray:
+    """Strength (negated Laplacian of the Gaussian, times sigma^2) where it is a maximum among its 26 neighbours and at least ``least``, else 0: bright balls of about sigma * sqrt(3)."""
+    g = gaussian(v, sigma)
+    p = np.pad(g, 1, mode="edge")
+    mid = p[1:-1, 1:-1, 1:-1]
+    lap = sum(p[tuple(slice(1 + d * (a == k), p.shape[a] - 1 + d * (a == k)) for a in range(3))] - mid for k in range(3) for d in (-1, 1))
+    s = -lap * sigma**2
+    q = np.pad(s, 1, constant_values=-np.inf)
+    top = np.max([q[x : x + s.shape[0], y : y + s.shape[1], z : z + s.shape[2]] for x in range(3) for y in range(3) for z in range(3) if (x, y, z) != (1, 1, 1)], 0)
+    return np.where((s >= least) & (s > top), s, 0)

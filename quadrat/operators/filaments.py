@@ -90,3 +90,29 @@ def contacts(paths: DataFrame, sides: DataFrame) -> DataFrame:
 
 def contact_cardinality(contact_rows: DataFrame) -> DataFrame:
     return contact_rows.groupBy("vid").agg(F.countDistinct("fil_id").alias("n"))
+
+
+def path_statistics(paths: DataFrame, edges: DataFrame, value: str) -> DataFrame:
+    """fil_id, n, total, mean, low, high of an edge value along each filament; steps that are no edge are passed over."""
+    steps = paths.where(F.size("path") > 1).select("fil_id", F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path") - 1).alias("b"))).alias("s"))
+    steps = steps.select("fil_id", F.least("s.a", "s.b").alias("src"), F.greatest("s.a", "s.b").alias("dst"))
+    own = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max(value).alias("_v"))
+    return steps.join(own, ["src", "dst"]).groupBy("fil_id").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.avg("_v").alias("mean"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+
+
+def every_nth(paths: DataFrame, n: int) -> DataFrame:
+    """Filaments with every n-th vertex, the first and the last one included."""
+    last = F.size("path") - 1
+    return paths.withColumn("path", F.filter("path", lambda _, k: (k % n == 0) | (k == last)))
+
+
+def contact_clusters(contact_points: DataFrame, radius: float | None = None, edges: DataFrame | None = None, preference: float | None = None) -> DataFrame:
+    """vid, cluster: of contact vertices (vid, x, y, z): within radius of each other (linkage), or connected by edges among them, or by affinity propagation of their places."""
+    from quadrat.operators import clusters
+
+    p = contact_points.select("vid", "x", "y", "z", F.lit(0).alias("_g"))
+    if edges is not None:
+        return graphs.subgraph_ids(p.select("vid"), graphs.induced(edges, p.select("vid"))).withColumnRenamed("component", "cluster")
+    if radius is not None:
+        return clusters.single_linkage(p, radius, ["_g"], "vid").select(F.col("id").alias("vid"), "cluster")
+    return clusters.affinity_propagation(p, ["_g"], preference, id_col="vid").select(F.col("id").alias("vid"), F.col("exemplar").alias("cluster"))

@@ -284,3 +284,13 @@ def experiments(experiments: Mapping[str, Mapping[str, DataFrame]], columns: Seq
             own = df.select([c for c in columns if c in df.columns]).withColumns({"group": F.lit(group), "identifier": F.lit(identifier)})
             out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out.select("group", "identifier", *[F.col(c) if c in out.columns else F.lit(None).alias(c) for c in columns])
+
+
+def in_categories(catalogs: DataFrame, by: str) -> DataFrame:
+    """Catalogs (identifier, values) with their category: the value under ``by``; those without one are left out."""
+    return catalogs.withColumn("category", F.element_at("values", by)).where("category IS NOT NULL")
+
+
+def with_values(catalogs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Catalogs with named values as columns, null where one lacks it."""
+    return catalogs.select("*", *[F.element_at("values", n).alias(n) for n in names])

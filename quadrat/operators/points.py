@@ -7,7 +7,7 @@ within a cell, which makes the result exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,11 @@ from quadrat.storage import settling, written
 XYZ = ("x", "y", "z")
 
 
-def distance(a: str, b: str, axes: Sequence[str] = XYZ) -> Column:
+def distance(a: str, b: str, axes: Sequence[str] = XYZ, metric: str = "euclidean") -> Column:
+    """metric: euclidean, manhattan or chebyshev; all are at least the greatest difference along an axis, on which cells rest."""
+    if metric != "euclidean":
+        parts = [F.abs(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in axes]
+        return sum(parts, F.lit(0.0)) if metric == "manhattan" else F.greatest(*parts, F.lit(0.0))
     return F.sqrt(sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in axes), F.lit(0.0)))
 
 
@@ -56,7 +60,7 @@ def cell_size(points: DataFrame, per_cell: float = 4.0, axes: Sequence[str] = XY
 
 
 @settling
-def knn(left: DataFrame, right: DataFrame, k: int = 1, keys: Sequence[str] = (), left_id: str = "part_id", right_id: str = "part_id", axes: Sequence[str] = XYZ, exclude_self: bool = False, cell: float | None = None) -> DataFrame:
+def knn(left: DataFrame, right: DataFrame, k: int = 1, keys: Sequence[str] = (), left_id: str = "part_id", right_id: str = "part_id", axes: Sequence[str] = XYZ, exclude_self: bool = False, cell: float | None = None, metric: str = "euclidean") -> DataFrame:
     """keys, id, other, dist, rank: the k nearest right points of each left point of the same keys, ties to the smaller id.
 
     Points without a partner give no row. Each round joins the cells around a point; a point whose k-th distance is at most
@@ -74,7 +78,7 @@ def knn(left: DataFrame, right: DataFrame, k: int = 1, keys: Sequence[str] = (),
     open_ = left.select(*keys, F.col(left_id).alias("id"), F.struct(*axes).alias("a"), *axes)
     while True:
         a = _around(open_.select(*keys, "id", "a", *_cells(axes, cell)), n, 1)
-        close = a.join(b.select(*keys, "other", "b", *_cells(axes, cell)), [*keys, *names]).withColumn("dist", distance("a", "b", axes))
+        close = a.join(b.select(*keys, "other", "b", *_cells(axes, cell)), [*keys, *names]).withColumn("dist", distance("a", "b", axes, metric))
         close = close.where("id <> other") if exclude_self else close
         best = W.partitionBy(*keys, "id").orderBy("dist", "other")
         close = close.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*keys, "id", "other", "dist", "rank")
@@ -229,3 +233,12 @@ def max_percentile(p: DataFrame, keys: Sequence[str]) -> DataFrame:
     """best and r: the largest p_ge over the radii and the first radius that has it; best starts at 0."""
     best = F.max_by(F.struct("p_ge", "r"), F.struct("p_ge", -F.col("r")))
     return p.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.greatest("_b.p_ge", F.lit(0.0)).alias("best"), F.col("_b.r").alias("r"))
+
+
+def compared(functions: Mapping[str, DataFrame], on: Sequence[str]) -> DataFrame:
+    """Functions (on, value) of many analyses as one table: on, name, value, and the difference from the mean of all at that place."""
+    out = None
+    for name, df in functions.items():
+        own = df.select(*on, F.lit(name).alias("name"), F.col("value"))
+        out = own if out is None else out.unionByName(own)
+    return out.withColumn("difference", F.col("value") - F.avg("value").over(W.partitionBy(*on)))

@@ -152,3 +152,28 @@ def instances(models: dict[str, DataFrame]) -> DataFrame:
         own = df.withColumn("model", F.lit(name))
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out
+
+
+#: Null models by name; more may be added. Each takes (counts: tomo_id, n, lo, hi; sims; seed) and gives sim_id, tomo_id, part_id, x, y, z.
+MODELS = {"csr": lambda counts, sims, seed: csr(counts, "n", sims, seed)}
+
+
+def generated(model: str, counts: DataFrame, sims: int, seed: int = 0) -> DataFrame:
+    """Instances of a registered model."""
+    return MODELS[model](counts, sims, seed)
+
+
+def cap_points(n: DataFrame, axis: Sequence[float], angle: float, radius: float, seed: int = 0) -> DataFrame:
+    """id, x, y, z: for each id, a uniform point of a sphere's cap: at most angle (degrees) from an axis."""
+    import math
+
+    length = math.sqrt(sum(v * v for v in axis))
+    w = [v / length for v in axis]
+    helper = [1.0, 0.0, 0.0] if abs(w[0]) < 0.9 else [0.0, 1.0, 0.0]
+    u = [w[1] * helper[2] - w[2] * helper[1], w[2] * helper[0] - w[0] * helper[2], w[0] * helper[1] - w[1] * helper[0]]
+    length = math.sqrt(sum(v * v for v in u))
+    u = [v / length for v in u]
+    v = [w[1] * u[2] - w[2] * u[1], w[2] * u[0] - w[0] * u[2], w[0] * u[1] - w[1] * u[0]]
+    z = 1 - (1 - math.cos(math.radians(angle))) * unit(seed, "id", F.lit("z"))
+    a, r = TURN * unit(seed, "id", F.lit("a")), F.sqrt(1 - z * z)
+    return n.select("id", *[(radius * (z * w[k] + r * F.cos(a) * u[k] + r * F.sin(a) * v[k])).alias(c) for k, c in enumerate("xyz")])

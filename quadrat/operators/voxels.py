@@ -414,3 +414,38 @@ def analysis(voxels: DataFrame, thresholds: Sequence[float], least: int = 1, con
         one = m.join(s, [*keys, "label"]).select(F.lit(float(t)).alias("threshold"), *keys, F.col("label").alias("component"), "volume", "surface", "mean", "std")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def volumes(voxels: DataFrame, size: float = 1.0, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """keys, tomogram (the volume of the box of all voxels), labelled, and the labels with a voxel: volumes in units of size^3."""
+    box = F.lit(1.0)
+    for c in axes:
+        box = box * (F.max(c) - F.min(c) + 1)
+    unit = size ** len(axes)
+    return voxels.groupBy(*keys).agg((box * unit).alias("tomogram"), (F.count_if(F.col("label") > 0) * unit).alias("labelled"), F.countDistinct(F.when(F.col("label") > 0, F.col("label"))).alias("n_labels"))
+
+
+def faces(voxels: DataFrame, keys: Sequence[str] = ("tomo_id",)) -> DataFrame:
+    """keys, a, b, c: the voxels' surface as triangles (structs of x, y, z), two for each face towards a voxel that isn't set; voxels reach half a unit around their centres."""
+    side = []
+    for k, c in enumerate(XYZ):
+        u, v = XYZ[(k + 1) % 3], XYZ[(k + 2) % 3]
+        for s in (-1, 1):
+            corner = lambda p, q: {c: 0.5 * s, u: p * s, v: q}  # noqa: B023, E731  (turned so that normals point out)
+            square = [corner(-0.5, -0.5), corner(0.5, -0.5), corner(0.5, 0.5), corner(-0.5, 0.5)]
+            side.append(({c: s}, [square[:3], [square[0], square[2], square[3]]]))
+    at = lambda o: F.struct(*[(F.col(c) + float(o.get(c, 0))).alias(c) for c in XYZ])
+    rows = F.explode(F.array(*[F.struct(*[(F.col(c) + F.lit(d.get(c, 0))).alias(f"n{c}") for c in XYZ], F.array(*[F.struct(at(t[0]).alias("a"), at(t[1]).alias("b"), at(t[2]).alias("c")) for t in ts]).alias("t")) for d, ts in side]))
+    out = voxels.select(*keys, rows.alias("f"))
+    set_ = voxels.select(*keys, *[F.col(c).alias(f"_{c}") for c in XYZ])
+    open_ = out.select(*keys, *[F.col(f"f.n{c}").alias(f"_{c}") for c in XYZ], "f.t").join(set_, [*keys, *[f"_{c}" for c in XYZ]], "left_anti")
+    return open_.select(*keys, F.inline("t"))
+
+
+def oriented_membranes(membrane: DataFrame, lumen: DataFrame, limit: float, keys: Sequence[str] = ("tomo_id",), axes: Sequence[str] = XYZ) -> DataFrame:
+    """Membrane voxels with component (connected labelling) and lumen: the label of the nearest lumen voxel at most limit away from any of the component's voxels, ties to the least; components without one are left out."""
+    from quadrat.operators.points import pairs_within
+
+    own = labelled(membrane, len(axes), keys, axes)
+    near = pairs_within(own, lumen.where("label > 0"), limit, keys, axes).groupBy(*keys, F.col("a.component").alias("component")).agg(F.min(F.struct("dist", F.col("b.label").alias("label"))).alias("_m"))
+    return own.join(near.select(*keys, "component", F.col("_m.label").alias("lumen")), [*keys, "component"])

@@ -248,3 +248,44 @@ def curve_polylines(spark, d):
 @query(f"WITH {U} SELECT curve_id, round(avg(x) + 2, 6) AS x, round(avg(y) - 1, 6) AS y FROM u GROUP BY 1")
 def curve_translated(spark, d):
     return rounded(curves.translated(paths(spark, d), (2.0, -1.0, 0.0)).groupBy("curve_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
+
+
+STEPS = "s AS (SELECT fil_id, least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT fil_id, unnest(path[:-2]) AS a, unnest(path[2:]) AS b FROM o WHERE len(path) > 1)), w AS (SELECT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst, max(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+
+
+@query(f"WITH {F_}, {STEPS} SELECT fil_id, count(*) AS n, round(sum(v), 4) AS total, round(avg(v), 6) AS mean, round(min(v), 4) AS low, round(max(v), 4) AS high FROM s JOIN w USING (src, dst) GROUP BY 1")
+def filament_statistics(spark, d):
+    """A value of the graph's edges along each filament."""
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_quantity").alias("v"))
+    return rounded(filaments.path_statistics(order_paths(spark, d), e, "v"))
+
+
+@query(f"WITH {F_}, k AS (SELECT fil_id, len(path) AS n, unnest(path) AS vid, generate_subscripts(path, 1) - 1 AS k FROM o) SELECT fil_id, count(*) AS n FROM k WHERE k % 3 = 0 OR k = n - 1 GROUP BY 1")
+def filament_downsampled(spark, d):
+    return filaments.every_nth(order_paths(spark, d), 3).select("fil_id", F.size("path").cast("long").alias("n"))
+
+
+@query()
+def contact_point_clusters(spark, d):
+    """Contacts (the first list's particles) within 6 of each other."""
+    return filaments.contact_clusters(particles(spark, d).where("list_id = 0").withColumnRenamed("part_id", "vid"), radius=6.0)
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 3 = 1 AND p_size BETWEEN 5 AND 30 AND p_retailprice BETWEEN 900 AND 1500")
+def synapse_slice_predicate(spark, d):
+    from quadrat.plans.predicates import synapse_slices
+
+    xml = "<set><syn_slice name='a' segment='1'><eu_dst low='5' high='30' sign='+'/><geo_dst low='900' high='1500' sign='+'/><sin low='8' high='9' sign='-'/></syn_slice></set>"
+    part = table(spark, d, "part").withColumns({"segment": F.col("p_partkey") % 3, "eu_dst": F.col("p_size"), "geo_dst": F.col("p_retailprice"), "sin": F.lit(0)})
+    return part.where(synapse_slices(xml)[0].where()).select("p_partkey")
+
+
+@query("SELECT o_orderkey, round(sum(l_quantity + 1), 4) AS total, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def array_helpers(spark, d):
+    """Nested arrays mapped, added to and flattened."""
+    from quadrat.functions import arrays
+
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    a = li.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag").agg(F.collect_list("l_quantity").alias("a")).groupBy("o_orderkey").agg(F.collect_list("a").alias("a"))
+    f = arrays.flattened(arrays.added(a, "a", 1.0), "a")
+    return rounded(f.select("o_orderkey", F.aggregate("a", F.lit(0.0), lambda s, v: s + v).alias("total"), F.size("a").cast("long").alias("n")), 4)

@@ -260,3 +260,80 @@ def geometry_transforms(spark, d):
     v = [F.col(c) for c in "xyz"]
     p = particles(spark, d).withColumns(dict(zip("uvw", G.affine(*both, v))))
     return rounded(p.select("part_id", F.col("u").alias("c"), G.affine(*back, [F.col(c) for c in "uvw"])[0].alias("i"), F.lit(G.decomposed(both)[1][0]).alias("s")))
+
+
+MANHATTAN = "abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z)"
+CHEBYSHEV = "greatest(abs(a.x - b.x), abs(a.y - b.y), abs(a.z - b.z))"
+
+
+@query(f"WITH {P} SELECT a.tomo_id, a.part_id AS id, round(min({MANHATTAN}), 6) AS manhattan, round(min({CHEBYSHEV}), 6) AS chebyshev FROM p a JOIN p b ON a.tomo_id = b.tomo_id AND a.part_id <> b.part_id GROUP BY ALL")
+def nn_metrics(spark, d):
+    """Nearest neighbours by other metrics."""
+    p = particles(spark, d)
+    nn = lambda m: points.knn(p, p, 1, ["tomo_id"], exclude_self=True, metric=m).select("tomo_id", "id", F.col("dist").alias(m))
+    return rounded(nn("manhattan").join(nn("chebyshev"), ["tomo_id", "id"]))
+
+
+@query(f"WITH {P}, c AS (SELECT tomo_id, part_id // 40 AS cell, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY ALL) SELECT tomo_id, id, cell FROM (SELECT a.tomo_id, a.part_id AS id, arg_min(b.cell, struct_pack(d := {DIST}, c := b.cell)) AS cell FROM p a JOIN c b ON a.tomo_id = b.tomo_id GROUP BY ALL)")
+def closest_cells(spark, d):
+    """Each point's closest cell, by the cells' centres."""
+    from quadrat.operators import clusters
+
+    p = particles(spark, d)
+    c = clusters.centroids(p.withColumn("cell", F.floor(F.col("part_id") / 40)), ["tomo_id", "cell"]).select("tomo_id", "cell", *[F.col(f"c{a}").alias(a) for a in "xyz"])
+    return points.knn(p, c, 1, ["tomo_id"], right_id="cell").select("tomo_id", "id", F.col("other").alias("cell"))
+
+
+@query(f"WITH {P}, n AS (SELECT list_id, tomo_id, count(*) AS n FROM p GROUP BY ALL), q AS (SELECT 'a' AS name, tomo_id, sum(n) * 1.0::DOUBLE AS value FROM n GROUP BY 2 UNION ALL SELECT 'b', tomo_id, max(n) FROM n GROUP BY 2) SELECT name, tomo_id, value, round(value - avg(value) OVER (PARTITION BY tomo_id), 6) AS difference FROM q")
+def functions_compared(spark, d):
+    n = tables.counts(particles(spark, d), *KEYS)
+    own = lambda f: n.groupBy("tomo_id").agg(f("n").cast("double").alias("value"))
+    return rounded(points.compared({"a": own(F.sum), "b": own(F.max)}, ["tomo_id"]))
+
+
+@query(f"WITH {P}, s AS (SELECT *, floor(z / 10)::BIGINT AS slab FROM p), q AS (SELECT a.tomo_id, a.slab, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM s a JOIN s b ON a.tomo_id = b.tomo_id AND a.slab = b.slab AND a.part_id <> b.part_id), n AS (SELECT tomo_id, slab, count(*) AS n FROM s GROUP BY ALL) SELECT n.tomo_id, n.slab, r.r, round(sqrt(3600.0 * count(q.dist) FILTER (q.dist < r.r) / (any_value(n) * any_value(n))), 6) AS ripley FROM n CROSS JOIN (VALUES (4.0::DOUBLE), (8.0)) AS r(r) LEFT JOIN q ON q.tomo_id = n.tomo_id AND q.slab = n.slab GROUP BY ALL")
+def stack_ripley(spark, d):
+    """Ripley's function of the points of each slab of a stack, in its plane."""
+    s = particles(spark, d).withColumn("slab", F.floor(F.col("z") / 10))
+    keys = ["tomo_id", "slab"]
+    counts = points.pair_counts(s, s, [4.0, 8.0], keys, ("x", "y"), strict=True)
+    sizes = tables.counts(s, *keys).withColumn("area", F.lit(3600.0))
+    return rounded(points.ripley_2d(counts, sizes, keys).select(*keys, "r", "ripley"))
+
+
+@query(f"WITH {P} SELECT s.s AS sim_id, tomo_id, count(*) AS n, true AS inside FROM p, range(2) s(s) GROUP BY ALL")
+def model_registry(spark, d):
+    """A registered null model's instances."""
+    boxes = tables.counts(particles(spark, d), "tomo_id").withColumns({"lo": F.array(*[F.lit(-3.0)] * 3), "hi": F.array(*[F.lit(5.0)] * 3)})
+    out = simulate.generated("csr", boxes, 2, seed=8)
+    return out.groupBy("sim_id", "tomo_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.least("x", "y", "z") >= -3).alias("inside"))
+
+
+@query("SELECT count(*) AS n, true AS on_sphere, true AS in_cap FROM part")
+def sphere_cap_points(spark, d):
+    ids = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    c = simulate.cap_points(ids, [1.0, 2.0, 2.0], 30.0, 5.0, seed=2)
+    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    cos = (F.col("x") + 2 * F.col("y") + 2 * F.col("z")) / 3 / r
+    return c.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.abs(r - 5) < 1e-9).alias("on_sphere"), F.bool_and(cos >= 0.8660254).alias("in_cap"))
+
+
+@query(f"WITH {P} SELECT list_id, n, round(first, 6) AS first, round(last, 6) AS last FROM (SELECT label::BIGINT AS list_id, count(*) AS n, avg(embedding[1]::DOUBLE) AS first, avg(embedding[64]::DOUBLE) AS last FROM embeddings GROUP BY 1)")
+def class_averages(spark, d):
+    from quadrat.operators import clusters
+
+    v = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("list_id"), F.col("embedding").cast("array<double>").alias("features"))
+    a = clusters.class_averages(v, "list_id")
+    return rounded(a.select("list_id", "n", F.col("average")[0].alias("first"), F.col("average")[63].alias("last")))
+
+
+EX = "m AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x - list_avg(embedding::DOUBLE[])) AS c FROM embeddings), e AS (SELECT label, arg_min(c, vec_id) AS e FROM m GROUP BY 1), s AS (SELECT label, list_inner_product(c, e) / sqrt(list_inner_product(c, c) * list_inner_product(e, e)) AS ncc FROM m JOIN e USING (label))"
+
+
+@query(f"WITH {EX} SELECT label::BIGINT AS list_id, count(*) AS n, round(avg(ncc), 6) AS mean, round(stddev_samp(ncc), 6) AS std, round(quantile_cont(ncc, 0.05), 6) AS low FROM s GROUP BY 1")
+def exemplar_statistics(spark, d):
+    from quadrat.operators import clusters
+
+    v = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("list_id"), F.col("embedding").cast("array<double>").alias("features"))
+    first = v.groupBy("list_id").agg(F.min_by("features", "vec_id").alias("exemplar"))
+    return rounded(clusters.exemplar_statistics(v, "list_id", first))

@@ -44,6 +44,21 @@ class Slice:
         return out
 
 
+@dataclass(frozen=True)
+class SynapseSlice:
+    """A slice of a synapse: its segment, and ranges of eu_dst, geo_dst, geo_len, sin, clst_nv, all of them looked at."""
+
+    name: str
+    segment: int
+    ranges: Mapping[str, Range] = field(default_factory=dict)
+
+    def where(self) -> Column:
+        out = F.col("segment") == self.segment
+        for k, r in self.ranges.items():
+            out = out & r.test(F.col(k))
+        return out
+
+
 @dataclass(frozen=True)
 class Linker:
     source: str
@@ -89,6 +104,10 @@ def slices(xml: str) -> list[Slice]:
     return [Slice(_text(e, "name"), int(_text(e, "side", "0")), _ranges(e, ("eu_dst", "geo_dst", "geo_len", "sin", "clst_nv"))) for e in ET.fromstring(xml).iter("mb_slice")]
 
 
+def synapse_slices(xml: str) -> list[SynapseSlice]:
+    return [SynapseSlice(_text(e, "name"), int(_text(e, "segmentation") or _text(e, "segment", "0")), _ranges(e, ("eu_dst", "geo_dst", "geo_len", "sin", "clst_nv"))) for e in ET.fromstring(xml).iter("syn_slice")]
+
+
 def linkers(xml: str) -> list[Linker]:
     return [Linker(_text(e, "source"), _text(e, "target"), _ranges(e, ("eu_dst", "geo_dst", "sin", "nn"))) for e in ET.fromstring(xml).iter("linker")]
 

@@ -323,3 +323,32 @@ def hier_distances(spark, d):
     one = n.where("level = 1").select("id", "parent_id")
     pairs = one.select(F.col("id").alias("a"), "parent_id").join(one.select(F.col("id").alias("b"), "parent_id"), "parent_id").where("a <= b").select("a", "b")
     return hierarchy.distances(n, pairs)
+
+
+@query(f"WITH {X} SELECT ((max(x) - min(x) + 1) * (max(y) - min(y) + 1) * (max(z) - min(z) + 1) * 8)::DOUBLE AS tomogram, (count(*) FILTER (label > 0) * 8)::DOUBLE AS labelled, count(DISTINCT label) FILTER (label > 0) AS n_labels FROM x")
+def voxel_volumes(spark, d):
+    return voxels.volumes(voxel_rows(spark, d), 2.0).drop("tomo_id")
+
+
+@query(f"WITH {X}, s AS (SELECT x, y, z FROM x WHERE label = 4), d AS (SELECT * FROM (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) AS t(i, j, k)), f AS (SELECT s.x + i AS nx, s.y + j AS ny, s.z + k AS nz, s.x, s.y, s.z FROM s, d) SELECT x, y, z, 2 * count(*) AS n_triangles, count(*)::DOUBLE AS area FROM f WHERE (nx, ny, nz) NOT IN (SELECT (x, y, z) FROM s) GROUP BY ALL")
+def voxel_faces(spark, d):
+    """The surface of a label as triangles: their number and area by voxel."""
+    f = voxels.faces(voxel_rows(spark, d).where("label = 4"))
+    e = lambda p, q: [F.col(f"{q}.{c}") - F.col(f"{p}.{c}") for c in "xyz"]
+    u, v = e("a", "b"), e("a", "c")
+    cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    area = F.sqrt(sum((c * c for c in cross), F.lit(0.0))) / 2
+    inward = [F.round((F.col(f"a.{c}") + F.col(f"b.{c}") + F.col(f"c.{c}")) / 3 - 0.5 * n).cast("long").alias(c) for c, n in zip("xyz", cross)]
+    return rounded(f.select(area.alias("_a"), *inward).groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n_triangles"), F.sum("_a").alias("area")))
+
+
+@query(f"WITH {CS}, k AS (SELECT (SELECT min(boundary_id) FROM c) AS cluster, (SELECT count(DISTINCT boundary_id) FROM c) AS n_boundaries) SELECT DISTINCT segment_id, boundary_id, cluster, n_boundaries FROM c, k")
+def contact_multi_cluster(spark, d):
+    return contacts.multi_cluster(supplier_contacts(spark, d)).select("segment_id", "boundary_id", "cluster", "n_boundaries")
+
+
+@query()
+def membranes_oriented(spark, d):
+    """Components of one label with the label around them."""
+    v = voxel_rows(spark, d)
+    return voxels.oriented_membranes(v.where("label = 4"), v.where("label < 4"), 2.0).select("x", "y", "z", "lumen")

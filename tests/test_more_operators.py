@@ -309,3 +309,45 @@ def test_visitor(spark):
     start = spark.createDataFrame([(1, 0.0)], "vid long, state double")
     got = {r.vid: r.state for r in graphs.propagated(e, start, lambda s, d: F.greatest(s, d)).collect()}
     assert got == {1: 0, 2: 2, 3: 2, 4: 4}
+
+
+def test_slices():
+    from quadrat.functions import arrays
+
+    assert arrays.intersected([(0, 5), (2, 9)], [(3, 8), (0, 4)]) == [(3, 5), (2, 4)] and arrays.intersected([(0, 2)], [(2, 4)]) is None
+    assert arrays.trimmed([(-2, 3), (1, 9)], (2, 4)) == [(0, 2), (1, 4)]
+    a, b = np.arange(12).reshape(3, 4), np.arange(20).reshape(4, 5)
+    p, q = arrays.placed(a.shape, b.shape, (1, 2), (0, 4))
+    cut = lambda x, s: x[tuple(slice(*r) for r in s)]
+    assert cut(a, p).tolist() == [[2, 3], [6, 7], [10, 11]] and cut(b, q).tolist() == [[5, 6], [10, 11], [15, 16]]
+
+
+def test_blobs_and_homogenised():
+    from quadrat.operators import fields
+
+    at = np.stack(np.indices((24, 24, 24)), -1)
+    v = sum(np.exp(-((at - np.array(c)) ** 2).sum(-1) / 8) for c in ((6, 6, 6), (17, 12, 15)))
+    s = fields.blobs(v, 1.5, 0.1)
+    assert sorted(map(tuple, np.argwhere(s > 0).tolist())) == [(6, 6, 6), (17, 12, 15)]
+    flat = fields.homogenised(v, 0.1)
+    slices = fields.homogenised(v, 0.1, whole=False)
+    assert flat.sum() == pytest.approx(v.sum()) and np.allclose(slices.sum((0, 1)), v.sum((0, 1))) and flat.max() < v.max()
+
+
+def test_faces_close_a_surface(spark):
+    """Voxel faces as a closed surface: its points are inside it, those of other voxels are not."""
+    rnd = random.Random(5)
+    cells = [c for c in itertools.product(range(4), repeat=3) if rnd.random() < 0.6]
+    v = spark.createDataFrame([(0, *c) for c in cells], "tomo_id long, x long, y long, z long")
+    pts = [(0, k, *(c + rnd.uniform(-0.4, 0.4) for c in at)) for k, at in enumerate(itertools.product(range(-1, 5), repeat=3))]
+    p = spark.createDataFrame(pts, "tomo_id long, part_id long, x double, y double, z double")
+    got = {r.id for r in regions.inside_surface(p, voxels.faces(v), 1.0).collect()}
+    assert got == {k for k, at in enumerate(itertools.product(range(-1, 5), repeat=3)) if at in set(cells)}
+
+
+def test_catalogs_by_category(spark):
+    from quadrat.operators import observations
+
+    c = spark.createDataFrame([("a", {"category": "x", "pixel": "2.5"}), ("b", {"pixel": "1"})], "identifier string, values map<string,string>")
+    assert [(r.identifier, r.category) for r in observations.in_categories(c, "category").collect()] == [("a", "x")]
+    assert {r.identifier: (r.pixel, r.category) for r in observations.with_values(c, ["pixel", "category"]).collect()} == {"a": ("2.5", "x"), "b": ("1", None)}
