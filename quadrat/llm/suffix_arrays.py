@@ -74,14 +74,14 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.nda
     group has become single is left alone.
     """
     n = len(data)
-    rest = ends - np.arange(n)
-    live = np.flatnonzero(rest >= 8)
-    rank = np.full(n, -1, np.int64)
+    rest = (ends - np.arange(n)).astype(np.int32)  # a shard has some millions of positions: half the bytes to gather
+    live = np.flatnonzero(rest >= 8).astype(np.int32)
+    rank = np.full(n, -1, np.int32)
     if len(live):
         key = words8(data)[live]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys are one group, in any order
         live, key = live[order], key[order]
-        index = np.arange(len(live))
+        index = np.arange(len(live), dtype=np.int32)
         new = np.concatenate([[True], key[1:] != key[:-1]])
         rank[live] = np.maximum.accumulate(np.where(new, index, 0))
     known = 8
@@ -95,16 +95,17 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.nda
         single = new & np.append(new[1:], True)
         live, own = live[~single], own[~single]
         key = (own.astype(U) << U(32)) | rank[live + shift].astype(U)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         live, key = live[order], key[order]
         if len(live):
-            index = np.arange(len(live))
+            index = np.arange(len(live), dtype=np.int32)
             group = np.concatenate([[True], (key[1:] >> U(32)) != (key[:-1] >> U(32))])
             part = np.concatenate([[True], key[1:] != key[:-1]])
             rank[live] += np.maximum.accumulate(np.where(part, index, 0)) - np.maximum.accumulate(np.where(group, index, 0))
         known += shift
     whole = np.flatnonzero(rest >= depth)
-    return whole[np.argsort(rank[whole], kind="stable")], rank
+    both = np.sort((rank[whole].astype(U) << U(32)) | whole.astype(U))
+    return (both & U((1 << 32) - 1)).astype(np.int64), rank
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lane: int = 1024) -> np.ndarray:
