@@ -351,3 +351,97 @@ def test_catalogs_by_category(spark):
     c = spark.createDataFrame([("a", {"category": "x", "pixel": "2.5"}), ("b", {"pixel": "1"})], "identifier string, values map<string,string>")
     assert [(r.identifier, r.category) for r in observations.in_categories(c, "category").collect()] == [("a", "x")]
     assert {r.identifier: (r.pixel, r.category) for r in observations.with_values(c, ["pixel", "category"]).collect()} == {"a": ("2.5", "x"), "b": ("1", None)}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_components_of_the_whole_graph(spark):
+    from quadrat.plans import queries as plans
+
+    e = [(r.src, r.dst) for r in plans.edges(spark, SF).where("length <= 2").collect()]
+    root = {r.vid: r.vid for r in plans.vertices(spark, SF).collect()}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in e:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert {r.vid: r.component for r in plans.QUERIES["graph_components_whole"](spark, SF).collect()} == {v: find(v) for v in root}
+
+
+def test_correlation_matrix(spark):
+    from quadrat.plans import queries as plans
+
+    t = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").toPandas()
+    want = np.corrcoef(np.array(t.embedding.tolist(), float))
+    at = {v: k for k, v in enumerate(t.vec_id)}
+    got = plans.QUERIES["pairwise_ncc"](spark, SF).toPandas()
+    assert len(got) == len(t) * (len(t) - 1) // 2
+    assert np.allclose(got.ncc, [want[at[a], at[b]] for a, b in zip(got.a, got.b)], atol=1e-9)
+
+
+def test_pca_and_kmeans(spark):
+    rnd = np.random.default_rng(6)
+    x = np.concatenate([rnd.standard_normal((60, 4)) * [5, 2, 1, 0.1] + c for c in ([0, 0, 0, 0], [60, 0, 0, 0])])
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, features array<double>")
+    p = np.array([r.projected for r in clusters.pca(v, 2).orderBy("id").collect()])
+    axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :2]
+    assert np.allclose(np.abs(p), np.abs(x @ axes), atol=1e-6)
+    got = np.array([r.prediction for r in clusters.kmeans(v, 2).orderBy("id").collect()])
+    assert len(set(got[:60])) == len(set(got[60:])) == 1 and got[0] != got[60]
+
+
+def test_persistence(spark):
+    rnd = random.Random(9)
+    lines = {k: [(float(i), rnd.gauss(0, 0.3) * k, rnd.gauss(0, 0.3) * k) for i in range(2 + k)] for k in range(8)}
+
+    def want(pts):
+        if len(pts) <= 2:
+            return -1.0
+        t = [np.subtract(b, a) for a, b in zip(pts, pts[1:])]
+        cos = [min(1.0, max(-1.0, float(v @ t[0] / np.linalg.norm(v) / np.linalg.norm(t[0])))) for v in t]
+        n = next((k for k, c in enumerate(cos) if math.degrees(math.acos(c)) > 40), len(t))
+        length, c = sum(np.linalg.norm(v) for v in t[:n]), cos[n - 1]
+        return -length / math.log(c) if 0 < c < 1 else 0.0
+
+    df = spark.createDataFrame([(k, i, *p) for k, pts in lines.items() for i, p in enumerate(pts)], "curve_id long, seq long, x double, y double, z double")
+    got = {r.curve_id: r.persistence for r in curves.persistence(df, 40.0).collect()}
+    assert got == pytest.approx({k: want(p) for k, p in lines.items()}, rel=1e-6)
+
+
+def test_column_overlap(spark):
+    rnd = random.Random(4)
+    schema = "layer int, tomo_id long, part_id long, x double, y double, z double"
+    one, two = ([(rnd.choice((1, 2)), t, k, rnd.uniform(0, 20), rnd.uniform(0, 20), rnd.uniform(0, 20)) for t in (0, 1) for k in range(15)] for _ in range(2))
+    got = {(r.tomo_id, r.part_id): r.overlaps for r in columns.overlap(spark.createDataFrame(one, schema), spark.createDataFrame(two, schema), 4.0).collect()}
+    assert got == {(a[1], a[2]): any(b[0] == 1 and b[1] == a[1] and math.dist(a[3:], b[3:]) <= 4 for b in two) for a in one if a[0] == 1}
+
+
+def test_envelopes_of_simulations(spark):
+    """Percentiles of the simulated curves, by numpy from the curves themselves."""
+    from quadrat.operators import points
+
+    boxes = spark.createDataFrame([(t, 12, [0.0] * 3, [10.0] * 3) for t in (0, 1)], "tomo_id long, n long, lo array<double>, hi array<double>")
+    sims = simulate.csr(boxes, "n", 19, seed=2)
+    k = points.pair_counts(sims, sims, [2.0, 4.0], ["sim_id", "tomo_id"]).withColumnRenamed("pairs", "value")
+    rows = k.toPandas()
+    at = sims.toPandas()
+    for (s, t, r), g in rows.groupby(["sim_id", "tomo_id", "r"]):
+        x = at[(at.sim_id == s) & (at.tomo_id == t)][["x", "y", "z"]].to_numpy()
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        assert g.value.iloc[0] == (d <= r).sum() - len(x)
+    for e in points.envelope(k, ["tomo_id", "r"]).collect():
+        v = rows[(rows.tomo_id == e.tomo_id) & (rows.r == e.r)].value
+        assert [e.low, e.median, e.high] == pytest.approx(np.percentile(v, [5, 50, 95]).tolist())
+
+
+def test_oriented_membranes(spark):
+    mb = [(0, x, y, 0) for x in range(3) for y in range(2)] + [(0, x, 9, 9) for x in range(2)] + [(0, 30, 0, 0)]
+    lumen = [(0, 1, 1, 2, 5), (0, 2, 1, 1, 4), (0, 0, 9, 7, 6)]
+    m = spark.createDataFrame(mb, "tomo_id long, x long, y long, z long")
+    got = {(r.x, r.y, r.z): r.lumen for r in voxels.oriented_membranes(m, spark.createDataFrame(lumen, "tomo_id long, x long, y long, z long, label long"), 2.0).collect()}
+    assert got == {(x, y, 0): 4 for x in range(3) for y in range(2)} | {(x, 9, 9): 6 for x in range(2)}
