@@ -29,6 +29,7 @@ from quadrat.llm import common as C
 
 N, THRESHOLD, RECALL = 5, (4, 5), 0.9999
 BLOCK_SETS, BLOCK_ITEMS, TASK_ITEMS = 1024, 1_000_000, 2_000_000
+SLAB_ITEMS, SLAB_ROWS = 250_000, 256  # worked on at a time, which bounds the memory of a pair of blocks
 MAX_HASHES = 160
 
 
@@ -93,34 +94,51 @@ def minhashed(sets: DataFrame, bands: int, rows: int, seed: int = 1) -> DataFram
     return sets.mapInArrow(run, f"id {kind}, text_hash long, n long, key binary, bands array<long>")
 
 
+def _count_shared(flat: np.ndarray, owner: np.ndarray, m: int, a: slice, b: slice, common: np.ndarray) -> None:
+    """Adds to common, for each set in a and each in b, how many of these n-grams both hold."""
+    by_gram = np.argsort(flat, kind="stable")
+    flat, owner = flat[by_gram], owner[by_gram]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]
+    count = np.diff(np.append(np.flatnonzero(new), len(flat)))
+    shared = np.repeat(count > 1, count)  # n-grams of one set only meet nothing
+    owner, column = owner[shared], (np.cumsum(new) - 1)[shared]
+    if not len(column):
+        return
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
+    width = max(64, 2_000_000 // m)
+    cuts = np.searchsorted(column, np.arange(0, column[-1] + 1 + width, width))
+    for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if e > s:
+            x = np.zeros((m, min(width, column[-1] + 1 - k * width)), np.float32)
+            x[owner[s:e], column[s:e] - k * width] = 1
+            np.add(common, x[a] @ x[b].T, out=common, casting="unsafe")
+
+
 def _verified(sets: list[np.ndarray], left: np.ndarray, weights: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(links of each set, a spanning forest of them). left: whether a set is of the task's first block; None: all pairs count."""
     m = len(sets)
+    order = np.arange(m) if left is None else np.argsort(~left, kind="stable")
+    a, b = (slice(0, m), slice(0, m)) if left is None else (slice(0, int(left.sum())), slice(int(left.sum()), m))
+    sets, weights = [sets[k] for k in order], weights[order]
     n = np.array([len(s) for s in sets], np.int64)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    count = np.diff(np.append(np.flatnonzero(new), len(flat)))
-    shared = np.repeat(count > 1, count)  # n-grams of one set only meet nothing
-    owner, column = owner[shared], (np.cumsum(new) - 1)[shared]
-    common = np.zeros((m, m), np.float32)
-    if len(column):
-        column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
-        width = max(64, 4_000_000 // m)
-        cuts = np.searchsorted(column, np.arange(0, column[-1] + 1 + width, width))
-        for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if e > s:
-                x = np.zeros((m, min(width, column[-1] + 1 - k * width)), np.float32)
-                x[owner[s:e], column[s:e] - k * width] = 1
-                common += x @ x.T
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m, dtype=np.int32), n)
+    common = np.zeros((a.stop - a.start, b.stop - b.start), np.int32)
+    slabs = max(1, -(-len(flat) // SLAB_ITEMS))  # of n-grams by their hash
+    slab = np.concatenate([(s.view(np.uint64) % np.uint64(slabs)).astype(np.int32) for s in sets])
+    for k in range(slabs):
+        _count_shared(flat[slab == k], owner[slab == k], m, a, b, common)
     p, q = threshold
-    inter = common.astype(np.int64)
-    linked = q * inter >= p * (n[:, None] + n[None, :] - inter)
+    linked = np.zeros((m, m), bool)
+    for s in range(a.start, a.stop, SLAB_ROWS):
+        own = slice(s, min(s + SLAB_ROWS, a.stop))
+        inter = common[own].astype(np.int64)
+        linked[own, b] = q * inter >= p * (n[own, None] + n[None, b] - inter)
     np.fill_diagonal(linked, False)
     if left is not None:
-        linked &= left[:, None] != left[None, :]
-    links, forest, seen = linked.astype(np.int64) @ weights, [], np.zeros(m, bool)
+        linked[b, a] = linked[a, b].T
+    links, forest, seen = np.zeros(m, np.int64), [], np.zeros(m, bool)
+    for s in range(0, m, SLAB_ROWS):
+        links[order[s : s + SLAB_ROWS]] = linked[s : s + SLAB_ROWS].astype(np.int64) @ weights
     for start in range(m):
         if not seen[start]:
             seen[start], queue = True, [start]
@@ -128,7 +146,7 @@ def _verified(sets: list[np.ndarray], left: np.ndarray, weights: np.ndarray, thr
                 at = queue.pop()
                 more = np.flatnonzero(linked[at] & ~seen)
                 seen[more] = True
-                forest += [(at, int(x)) for x in more]
+                forest += [(int(order[at]), int(order[x])) for x in more]
                 queue += more.tolist()
     return links, forest
 
