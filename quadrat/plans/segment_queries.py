@@ -251,8 +251,9 @@ def layers_by_columns(spark, d):
 
 @query(f"WITH {X}, q AS (SELECT a.x, a.y, a.z, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS dist FROM x a JOIN x b ON a.label = 4 AND b.label = 1 GROUP BY ALL) SELECT round(median(dist), 6) AS width, round(avg(dist), 6) AS mean, count(*) AS n FROM q WHERE dist <= 20")
 def cleft_width(spark, d):
+    """Of the one volume; a row even where a boundary has no voxels."""
     v = voxel_rows(spark, d)
-    return rounded(voxels.cleft_width(v.where("label = 4"), v.where("label = 1"), most=20.0).drop("tomo_id"))
+    return rounded(voxels.cleft_width(v.where("label = 4"), v.where("label = 1"), (), most=20.0))
 
 
 @query(f"WITH {X} SELECT count(*) AS n, round(sum(value), 4) AS total, true AS moved FROM x WHERE label > 1")
