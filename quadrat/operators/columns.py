@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.operators.clusters import single_linkage
 from quadrat.operators.points import pairs_within
+from quadrat.storage import discard, settling, written
 
 
 def layer_clusters(points: DataFrame, radius: float) -> DataFrame:
@@ -69,15 +73,77 @@ def count_where(columns: DataFrame, condition) -> DataFrame:
     return columns.groupBy("tomo_id").agg(F.count_if(condition).alias("n"))
 
 
+MOST = 1_000_000  # aligned pairs of a tomogram that one task sweeps; larger ones go by rounds
+
+
+@settling
 def exclusive_sub_columns(clusters: DataFrame, radius: float) -> DataFrame:
-    """tomo_id, c1, c2, c3: sub-columns in which each cluster takes part once: those with most aligned pairs (both sides' sum) come first, ties to the least clusters."""
-    from quadrat.operators.suppression import settled_rounds
-
-    two = alignment(clusters, 1, 2, radius).select("tomo_id", F.col("upper").alias("c1"), F.col("lower").alias("c2"), F.col("n").alias("_n2"))
-    three = alignment(clusters, 1, 3, radius).select("tomo_id", F.col("upper").alias("c1"), F.col("lower").alias("c3"), F.col("n").alias("_n3"))
-    every = two.join(three, ["tomo_id", "c1"]).select("tomo_id", (-(F.col("_n2") + F.col("_n3"))).alias("m"), "c1", "c2", "c3")
-    item = F.struct("m", "c1", "c2", "c3")
-    ends = every.select("tomo_id", item.alias("i"), F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), F.col(f"c{k}").alias("c")) for k in (1, 2, 3)])).alias("e"))
-    pairs = ends.alias("a").join(ends.alias("b"), ["tomo_id", "e"]).where("a.i < b.i").select(F.struct("tomo_id", F.col("a.i").alias("i")).alias("over"), F.struct("tomo_id", F.col("b.i").alias("i")).alias("id")).distinct()
-    kept = settled_rounds(pairs, every.select(F.struct("tomo_id", item.alias("i")).alias("id")))
-    return kept.select("id.tomo_id", "id.i.c1", "id.i.c2", "id.i.c3")
+    """tomo_id, c1, c2, c3: sub-columns in which each cluster takes part once: those with most aligned pairs (both sides' sum) come first, ties to the least clusters.
+
+    Both ways work on the aligned pairs, not on their combinations: a layer 1 cluster's best open sub-column is made of its
+    best open pair on each side.
+    """
+    sides = [alignment(clusters, 1, k, radius).select("tomo_id", F.lit(k).alias("k"), F.col("upper").alias("c1"), F.col("lower").alias("c"), "n") for k in (2, 3)]
+    pairs = written(sides[0].unionByName(sides[1]))
+    large = written(pairs.groupBy("tomo_id").count().where(F.col("count") > MOST).select("tomo_id"))
+    kind = {c: pairs.schema[c].dataType.simpleString() for c in ("tomo_id", "c")}
+    swept = pairs.join(large, "tomo_id", "left_anti").groupBy("tomo_id").applyInPandas(_sweep, f"tomo_id {kind['tomo_id']}, c1 {kind['c']}, c2 {kind['c']}, c3 {kind['c']}")
+    return swept if large.isEmpty() else swept.unionByName(_rounds(pairs.join(large, "tomo_id", "left_semi")))
+
+
+def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sub-columns of a tomogram's pairs (k, c1, c, n), one by one."""
+    order = pdf.assign(m=-pdf["n"]).sort_values(["c1", "m", "c"])
+    sides = {k: {c1: (g["m"].to_numpy(), g["c"].to_numpy()) for c1, g in order[order["k"] == k].groupby("c1")} for k in (2, 3)}
+    at = {k: dict.fromkeys(s, 0) for k, s in sides.items()}
+    used: dict[int, set] = {2: set(), 3: set()}
+
+    def best(c1):
+        m, cs = 0, []
+        for k in (2, 3):
+            ms, ids = sides[k][c1]
+            while at[k][c1] < len(ids) and ids[at[k][c1]] in used[k]:
+                at[k][c1] += 1
+            if at[k][c1] == len(ids):
+                return None
+            m += ms[at[k][c1]]
+            cs.append(ids[at[k][c1]])
+        return (m, c1, *cs)
+
+    heap = [best(c1) for c1 in sides[2] if c1 in sides[3]]
+    heapq.heapify(heap)
+    kept = []
+    while heap:
+        _, c1, c2, c3 = heapq.heappop(heap)
+        if c2 in used[2] or c3 in used[3]:
+            if (again := best(c1)) is not None:
+                heapq.heappush(heap, again)
+            continue
+        used[2].add(c2)
+        used[3].add(c3)
+        kept.append((pdf["tomo_id"].iloc[0], c1, c2, c3))
+    return pd.DataFrame(kept, columns=["tomo_id", "c1", "c2", "c3"])
+
+
+def _rounds(pairs: DataFrame) -> DataFrame:
+    """The same by rounds: a layer 1 cluster's best sub-column stays if it is also the best that its two other clusters can have; then all pairs of its three clusters go."""
+    sides = {k: written(pairs.where(F.col("k") == k).select("tomo_id", "c1", F.col("c").alias(f"c{k}"), "n")) for k in (2, 3)}
+    kept = None
+    while True:
+        best = {k: s.groupBy("tomo_id", "c1").agg(F.min(F.struct((-F.col("n")).alias("m"), f"c{k}")).alias("_b")).select("tomo_id", "c1", F.col("_b.m").alias(f"m{k}"), f"_b.c{k}") for k, s in sides.items()}
+        top = written(best[2].join(best[3], ["tomo_id", "c1"]))
+        if top.isEmpty():
+            return top.select("tomo_id", "c1", "c2", "c3") if kept is None else kept
+        stays = top
+        for k, other in ((2, "m3"), (3, "m2")):
+            open_ = sides[k].join(top.select("tomo_id", "c1", other), ["tomo_id", "c1"])
+            first = open_.groupBy("tomo_id", f"c{k}").agg(F.min(F.struct((F.col(other) - F.col("n")).alias("m"), "c1")).alias("_f"))
+            stays = stays.join(first.select("tomo_id", f"c{k}", "_f.c1"), ["tomo_id", f"c{k}", "c1"], "left_semi")
+        stays = written(stays.select("tomo_id", "c1", "c2", "c3"))
+        kept = stays if kept is None else kept.unionByName(stays)
+        for k, s in sides.items():
+            left = s.join(top.select("tomo_id", "c1"), ["tomo_id", "c1"], "left_semi")
+            for c in ("c1", f"c{k}"):
+                left = left.join(stays.select("tomo_id", c), ["tomo_id", c], "left_anti")
+            sides[k] = written(left)
+            discard(s)
